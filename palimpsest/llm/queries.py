@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import packing, pieces, pii
+from palimpsest.llm import chat, extract, packing, pieces, pii
 from palimpsest.llm.shared import documents
 
 
@@ -14,9 +14,17 @@ def op6_packing(spark, sf_dir):
     return packing.digest_query(documents(spark, sf_dir))
 
 
+def op7_extract(spark, sf_dir):
+    return extract.main_text_query(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_chat(spark, sf_dir):
+    return chat.digest_query(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_pieces(spark, sf_dir):
     return pieces.digest_query(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op6_packing, op9_pieces)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces)}
+ORACLE_SQL: dict[str, str] = {"op8_chat": chat.DIGEST_SQL}
