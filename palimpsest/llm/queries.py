@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, extract, packing, pieces, pii
+from palimpsest.llm import chat, extract, merkle, packing, pieces, pii
 from palimpsest.llm.shared import documents
 
 
+def op2_merkle(spark, sf_dir):
+    return merkle.edited_query(documents(spark, sf_dir))
+
+
 def op4_pii(spark, sf_dir):
     return pii.digest_query(documents(spark, sf_dir))
 
@@ -26,5 +30,5 @@ def op9_pieces(spark, sf_dir):
     return pieces.digest_query(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op2_merkle, op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces)}
 ORACLE_SQL: dict[str, str] = {"op8_chat": chat.DIGEST_SQL}
