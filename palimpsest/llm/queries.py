@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, extract, merkle, packing, pieces, pii
+from palimpsest.llm import chat, exact, extract, merkle, packing, pieces, pii
 from palimpsest.llm.shared import documents
 
 
@@ -10,6 +10,10 @@ def op2_merkle(spark, sf_dir):
     return merkle.edited_query(documents(spark, sf_dir))
 
 
+def op3_exact(spark, sf_dir):
+    return exact.groups_query(documents(spark, sf_dir))
+
+
 def op4_pii(spark, sf_dir):
     return pii.digest_query(documents(spark, sf_dir))
 
@@ -30,5 +34,5 @@ def op9_pieces(spark, sf_dir):
     return pieces.digest_query(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_merkle, op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces)}
-ORACLE_SQL: dict[str, str] = {"op8_chat": chat.DIGEST_SQL}
+QUERIES = {f.__name__: f for f in (op2_merkle, op3_exact, op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces)}
+ORACLE_SQL: dict[str, str] = {"op3_exact": exact.GROUPS_SQL, "op8_chat": chat.DIGEST_SQL}

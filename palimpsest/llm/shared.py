@@ -27,12 +27,16 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, tag)
+def write_table(df: DataFrame, tag: str, codec: str = "zstd") -> str:
+    """Write df once to the shared folder; its path."""
+    path = work_path(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+    """df written once and read back: lineage ends there and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag, codec))
 
 
 def is_empty(df: DataFrame) -> bool:
