@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, exact, extract, merkle, packing, pieces, pii
+from palimpsest.llm import chat, exact, extract, merkle, near, packing, pieces, pii
 from palimpsest.llm.shared import documents
 
 
@@ -34,5 +34,9 @@ def op9_pieces(spark, sf_dir):
     return pieces.digest_query(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_merkle, op3_exact, op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces)}
+def op10_near(spark, sf_dir):
+    return near.components_query(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_merkle, op3_exact, op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces, op10_near)}
 ORACLE_SQL: dict[str, str] = {"op3_exact": exact.GROUPS_SQL, "op8_chat": chat.DIGEST_SQL}
