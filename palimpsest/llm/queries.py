@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, exact, extract, merkle, near, packing, pieces, pii
+from palimpsest.llm import chat, exact, extract, merkle, near, packing, pieces, pii, quality
 from palimpsest.llm.shared import documents
 
 
+def op1_quality(spark, sf_dir):
+    return quality.scores_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_merkle(spark, sf_dir):
     return merkle.edited_query(documents(spark, sf_dir))
 
@@ -38,5 +42,5 @@ def op10_near(spark, sf_dir):
     return near.components_query(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_merkle, op3_exact, op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces, op10_near)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_merkle, op3_exact, op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces, op10_near)}
 ORACLE_SQL: dict[str, str] = {"op3_exact": exact.GROUPS_SQL, "op8_chat": chat.DIGEST_SQL}
