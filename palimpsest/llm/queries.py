@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, exact, extract, merkle, near, packing, pieces, pii, quality
+from palimpsest.llm import chat, exact, extract, lines, merkle, near, packing, pieces, pii, quality
 from palimpsest.llm.shared import documents
 
 
@@ -22,6 +22,10 @@ def op4_pii(spark, sf_dir):
     return pii.digest_query(documents(spark, sf_dir))
 
 
+def op5_lines(spark, sf_dir):
+    return lines.lines_query(documents(spark, sf_dir))
+
+
 def op6_packing(spark, sf_dir):
     return packing.digest_query(documents(spark, sf_dir))
 
@@ -42,5 +46,5 @@ def op10_near(spark, sf_dir):
     return near.components_query(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_merkle, op3_exact, op4_pii, op6_packing, op7_extract, op8_chat, op9_pieces, op10_near)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_merkle, op3_exact, op4_pii, op5_lines, op6_packing, op7_extract, op8_chat, op9_pieces, op10_near)}
 ORACLE_SQL: dict[str, str] = {"op3_exact": exact.GROUPS_SQL, "op8_chat": chat.DIGEST_SQL}
