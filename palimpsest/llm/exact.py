@@ -21,8 +21,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.llm.shared import is_empty, materialise, work_path, write_table
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; change logs in place of whole snapshots, and no files preallocated (4 MB a partition otherwise).
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalise(text: Column) -> Column:
@@ -52,11 +56,12 @@ def _candidate(id_col: str = "id") -> Column:
 def _through_state(prints: DataFrame, source: str, digest: Column, bytes_per_batch: int | None) -> DataFrame:
     """Stream the table of prints at source through keyed state and read the state back: digest, keep, group_size."""
     spark = prints.sparkSession
-    held, path = spark.conf.get(_PROVIDER, None), work_path(spark, "exact-state")
+    held, path = {k: spark.conf.get(k, None) for k in _STATE_CONF}, work_path(spark, "exact-state")
     reader = spark.readStream.schema(prints.schema)
     if bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", str(bytes_per_batch))
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    for k, v in _STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         states = reader.parquet(source).groupBy(digest.alias("digest")).agg(F.min(_candidate()).alias("keep"), F.count("*").alias("group_size"))
         states.writeStream.format("noop").outputMode("update").option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
@@ -64,7 +69,8 @@ def _through_state(prints: DataFrame, source: str, digest: Column, bytes_per_bat
         key, value = (state.schema[k].dataType.fieldNames() for k in ("key", "value"))
         return materialise(state.select(F.col(f"key.`{key[0]}`").alias("digest"), F.col(f"value.`{value[0]}`").alias("keep"), F.col(f"value.`{value[1]}`").alias("group_size")), "exact-groups")
     finally:
-        spark.conf.unset(_PROVIDER) if held is None else spark.conf.set(_PROVIDER, held)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_of: Callable[[Column], Column] = lambda sha: sha, bytes_per_batch: int | None = 2**40) -> DataFrame:
