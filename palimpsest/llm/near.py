@@ -8,8 +8,9 @@ below 1e-9 a pair). Passages that many documents share are common values, so the
 
 Lists never turn into all their pairs. First every member is held against three hubs of each list; the
 links found are contracted to components. What is then left in one list but in different components is
-compared in full, so nothing is lost and a large group of near copies costs about its length. Pairs pass an
-estimate from the union of both sketches and are confirmed by exact Jaccard on full sets.
+compared in full: pair by pair in short lists, by blocks of documents and matrix products in long ones, where
+no row a pair is ever made. Pairs pass an estimate from the union of both sketches and are confirmed by exact
+Jaccard on full sets; blocks use full sets from the start.
 
 Empty texts (null, or without words) have no shingles and link with nothing. A text with fewer words than
 a shingle is one shingle. Rows without an id get a null component and stay. Rows sharing an id are one node.
@@ -19,6 +20,7 @@ Of repeated rows all carry the same component; `kept` marks the rows whose id na
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ from palimpsest.llm.shared import is_empty, materialise
 K, INDEX, MISS = 64, 32, 1e-9
 #: Ids of texts to be read again are broadcast up to this count (16 MB); beyond it the texts are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Lists up to this length are compared as pairs; longer ones block by block, a block holding about so much.
+SHORT, BLOCK_DOCS, BLOCK_SHINGLES = 16, 512, 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -145,17 +149,126 @@ def hub_pairs(lists: DataFrame, threshold: float) -> DataFrame:
     return met.select(*_ordered("node", "n", "hub", "hub_n")).where(_sizes_fit(threshold)).distinct()
 
 
-def rest_pairs(lists: DataFrame, parts: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one list whose components still differ and that weren't tested."""
+def open_lists(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """What the hubs left undecided: (v, node, n, part, c) of lists that hold more than one component."""
     named = lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_lists = named.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("v")
-    left = materialise(named.join(open_lists, "v"), "near-open")
-    a = left.select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    b = left.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    undecided = named.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("v", "c")
+    return materialise(named.join(undecided, "v").select("v", "node", "n", "part", "c"), "near-open")
+
+
+def rest_pairs(left: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """Untested pairs of different components in short lists: at most SHORT / 2 a member and list."""
+    short = left.where(F.col("c") <= SHORT)
+    a = short.select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    b = short.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit(threshold))
     return pairs.select("a", "na", "b", "nb").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
+    """Links between components (a, b) that meet in long lists, found exactly and without a row a pair.
+
+    Lists that share members make a group. A group's members are dealt into bounded blocks, blocks of one
+    component apart from mixed ones; each pair of blocks that can hold a link goes to one task, which gets all
+    intersection sizes by matrix products and returns a spanning forest of the links.
+    """
+    long = left.where(F.col("c") > SHORT)
+    if is_empty(long):
+        return left.select(F.col("part").alias("a"), F.col("part").alias("b")).limit(0)
+    spokes = long.join(long.groupBy("v").agg(F.min("node").alias("m")), "v").select(F.col("node").alias("a"), F.col("m").alias("b")).where("a <> b")
+    group = components(spokes)
+    members = materialise(long.select("node", "n", "part").distinct().join(group.withColumnRenamed("part", "grp"), "node"), "near-members")
+
+    def blocks(count, total):
+        return F.greatest(F.ceil(count / BLOCK_DOCS), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    parts = members.groupBy("grp", "part").agg(F.count("*").alias("pc"), F.sum("n").alias("pn"))
+    parts = parts.withColumn("pure", (F.col("pc") * 2 >= BLOCK_DOCS) | (F.col("pn") * 2 >= BLOCK_SHINGLES))
+    mixed = parts.where("not pure").groupBy("grp").agg(blocks(F.sum("pc"), F.sum("pn")).alias("mb"))
+    dealt = parts.join(mixed, "grp", "left").select("grp", "part", "pure", F.when(F.col("pure"), blocks(F.col("pc"), F.col("pn"))).otherwise(F.col("mb")).alias("nb"))
+    block = F.when(F.col("pure"), F.struct(F.col("part").alias("of"), F.pmod(F.xxhash64("node"), "nb").cast("int").alias("no"))).otherwise(
+        F.struct(F.lit(None).cast(members.schema["part"].dataType).alias("of"), F.pmod(F.xxhash64("part"), "nb").cast("int").alias("no"))
+    )
+    placed = members.join(dealt, ["grp", "part"]).select("grp", "node", "part", block.alias("block"))
+    placed = materialise(placed, "near-placed")
+    all_blocks = materialise(placed.select("grp", "block").distinct(), "near-blocks")
+    x, y = all_blocks.select("grp", F.col("block").alias("x")), all_blocks.select("grp", F.col("block").alias("y"))
+    meet = x.join(y, "grp").where((F.col("x") <= F.col("y")) & (F.col("x.of").isNull() | F.col("y.of").isNull() | (F.col("x.of") != F.col("y.of"))))
+    meet = materialise(meet.withColumn("pair", F.monotonically_increasing_id()), "near-meet")
+    sides = meet.select("grp", "pair", F.col("x").alias("block"), F.lit(0).alias("side")).union(meet.where("x <> y").select("grp", "pair", F.col("y").alias("block"), F.lit(1).alias("side")))
+    sets = full_sets(placed.select(F.col("node").alias("id")).distinct(), docs, id_col, text_col, words).withColumnRenamed("id", "node")
+    filled = placed.join(sets, "node")
+    shipped = filled.join(sides, (filled["grp"] == sides["grp"]) & filled["block"].eqNullSafe(sides["block"])).select("pair", "side", "part", "members")
+    percent, part_type = round(100 * threshold), members.schema["part"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
+
+        for _, some in itertools.groupby(rows(), key=lambda r: r[0]):
+            sides: tuple[list, list] = ([], [])
+            for _, side, part, blob in some:
+                sides[side].append((part, np.frombuffer(blob, np.int64)))
+            edges = _forest(sides[0], sides[1] or sides[0], percent)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
+
+    sent = shipped.repartition("pair").sortWithinPartitions("pair", "side")
+    return materialise(sent.mapInArrow(run, f"a {part_type}, b {part_type}"), "near-block-links")
+
+
+def _forest(one: list, two: list, percent: int) -> list[tuple]:
+    """Edges of a spanning forest of the links between members (part, set) of different parts in one and two."""
+    na, nb = (np.array([len(s) for _, s in side]) for side in (one, two))
+    va, vb = (np.concatenate([s for _, s in side]) for side in (one, two))
+    ra, rb = (np.repeat(np.arange(len(n)), n) for n in (na, nb))
+    common = np.intersect1d(va, vb) if one is not two else np.unique(va)
+    ca, cb = (np.searchsorted(common, v) for v in (va, vb))
+    inter = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(common), 2048):
+        width = min(2048, len(common) - at)
+        x, y = np.zeros((len(one), width), np.float32), np.zeros((len(two), width), np.float32)
+        for m, c, r, v in ((x, ca, ra, va), (y, cb, rb, vb)):
+            here = (c >= at) & (c < at + width)
+            here[here] = common[c[here]] == v[here]
+            m[r[here], c[here] - at] = 1
+        inter += x @ y.T
+    i, j = np.nonzero((100 * inter.astype(np.int64) >= percent * (na[:, None] + nb[None, :] - inter.astype(np.int64))) & (inter > 0))
+    names = sorted({p for p, _ in one} | {p for p, _ in two})
+    number = {p: k for k, p in enumerate(names)}
+    pa_, pb_ = np.array([number[p] for p, _ in one]), np.array([number[p] for p, _ in two])
+    pairs = np.unique(np.stack([pa_[i], pb_[j]], 1), axis=0)
+    root = list(range(len(names)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    edges = []
+    for p, q in pairs.tolist():
+        a, b = find(p), find(q)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            edges.append((names[p], names[q]))
+    return edges
+
+
+def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, members): the full shingle sets of the named documents, read from their texts again."""
+    ids = materialise(ids, "near-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "members"])
+
+    return materialise(texts.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, members binary"), "near-sets")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
     """Links (a, b) among pairs: union-sketch estimate, then exact Jaccard on full sets."""
     percent = round(100 * threshold)
@@ -171,13 +284,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     sure, unsure = likely.where("not unsure").select("a", "b"), likely.where("unsure").select("a", "b")
     if is_empty(unsure):
         return sure
-    ids = materialise(unsure.select(F.col("a").alias("id")).union(unsure.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "members"])
+    ids = unsure.select(F.col("a").alias("id")).union(unsure.select(F.col("b").alias("id"))).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,8 +295,8 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                 good.append(100 * n >= percent * (len(s) + len(t) - n) and n > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    id_type = ids.schema["id"].dataType.simpleString()
-    full = materialise(texts.mapInArrow(sets, f"id {id_type}, members binary"), "near-sets")
+    id_type = pairs.schema["a"].dataType.simpleString()
+    full = full_sets(ids, docs, id_col, text_col, words)
     joined = unsure.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
     checked = joined.select("a", "b", "ma", "mb").mapInArrow(verify, f"a {id_type}, b {id_type}")
     return materialise(sure.union(checked).distinct(), "near-links")
@@ -227,9 +334,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialise(hub_pairs(lists, threshold), "near-hubs")
     links = confirm(pairs, classes, docs, id_col, text_col, words, threshold)
     parts = materialise(components(links), "near-parts")
-    rest = materialise(rest_pairs(lists, parts, pairs, threshold), "near-rest")
-    if not is_empty(rest):
-        more = confirm(rest, classes, docs, id_col, text_col, words, threshold)
+    left = open_lists(lists, parts)
+    if not is_empty(left):
+        rest = materialise(rest_pairs(left, pairs, threshold), "near-rest")
+        more = block_links(left, docs, id_col, text_col, words, threshold)
+        if not is_empty(rest):
+            more = more.union(confirm(rest, classes, docs, id_col, text_col, words, threshold))
         if not is_empty(more):
             parts = materialise(components(links.union(more)), "near-parts")
     of_class = classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))
