@@ -75,7 +75,7 @@ class Net:
     def features(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(np.maximum(pooled, 0) @ self.p["hid"] + self.p["hid_b"], 0)
 
-    def scores(self, texts: list[str | None], block: int = 256) -> np.ndarray:
+    def scores(self, texts: list[str | None], block: int = 48) -> np.ndarray:
         """One probability per text, a bounded number of chunks at a time."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
