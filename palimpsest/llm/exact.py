@@ -34,13 +34,13 @@ def normalise(text: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with __file and __row, which name each row for good; a table that isn't read from files is written first."""
-    if {"__file", "__row"} <= set(docs.columns):
+    """docs with __locator_file and __locator_row, which name each row for good; a table that isn't read from files is written first."""
+    if {"__locator_file", "__locator_row"} <= set(docs.columns):
         return docs
 
     def name(df: DataFrame) -> DataFrame:
         at = df.metadataColumn("_metadata")
-        return df.select("*", at["file_path"].alias("__file"), at["row_index"].alias("__row"))
+        return df.select("*", at["file_path"].alias("__locator_file"), at["row_index"].alias("__locator_row"))
 
     try:
         return name(docs)
@@ -80,7 +80,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     """
     src = located(docs)
     norm = normalise(F.col(f"`{text_col}`"))
-    named = src.select(F.col(f"`{id_col}`").alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"), norm.alias("norm"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("n_points"))
+    named = src.select(F.col(f"`{id_col}`").alias("id"), F.col("__locator_file").alias("file"), F.col("__locator_row").alias("row"), norm.alias("norm"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("n_points"))
     named = named.withColumn("text_sha256", F.sha2("norm", 256))
     source = write_table(named.drop("norm"), "exact-prints")
     prints = docs.sparkSession.read.schema(named.drop("norm").schema).parquet(source)
@@ -106,8 +106,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_per_batch: int | None = 2**40) -> DataFrame:
     """docs without the rows that are copies of one that stays; same columns."""
     src = located(docs)
-    keep = groups(src, id_col, text_col, bytes_per_batch=bytes_per_batch).where("kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    return src.join(keep, ["__file", "__row"], "left_semi").drop("__file", "__row")
+    keep = groups(src, id_col, text_col, bytes_per_batch=bytes_per_batch).where("kept").select(F.col("file").alias("__locator_file"), F.col("row").alias("__locator_row"))
+    return src.join(keep, ["__locator_file", "__locator_row"], "left_semi").drop("__locator_file", "__locator_row")
 
 
 def groups_query(docs: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from palimpsest.llm.shared import fresh
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|template|noscript|title|textarea|svg|iframe|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -291,7 +293,7 @@ def extract(df: DataFrame, html_col: str = "html", out_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*b.schema.names[:-1], out_col])
 
     kept = [f for f in df.schema.fields if f.name not in (out_col, html_col)]
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{html_col}`").alias("__html"))
+    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{html_col}`").alias(fresh(df, "__html")))
     return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` string"]))
 
 

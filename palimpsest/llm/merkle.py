@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.llm.shared import fresh
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(62)
@@ -173,7 +175,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fing
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], out_col])
 
     kept = [f for f in df.schema.fields if f.name != out_col]
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias("__text"))
+    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias(fresh(df, "__text")))
     return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` string"]))
 
 

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from palimpsest.llm.shared import fresh
+
 MARK = "▁"
 
 
@@ -112,7 +114,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model_fi
 
     src = df.drop(out_col) if out_col != text_col else df
     kept = [f for f in src.schema.fields if f.name != out_col]
-    src = src.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias("__text"))
+    src = src.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias(fresh(df, "__text")))
     return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` array<int>"]))
 
 
@@ -127,7 +129,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "text", model_fil
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*b.schema.names[:-1], out_col])
 
     kept = [f for f in df.schema.fields if f.name != out_col]
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{ids_col}`").alias("__ids"))
+    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{ids_col}`").alias(fresh(df, "__ids")))
     return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` string"]))
 
 

@@ -18,6 +18,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from palimpsest.llm.shared import fresh
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "local_phone")
 ORDER = {k: i for i, k in enumerate(BASE_KINDS + EXTRA_KINDS)}
@@ -127,13 +129,12 @@ def _map_texts(df: DataFrame, text_col: str, fn, added: list[tuple[str, pa.DataT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [fn(t) for t in b.column(b.schema.get_field_index("__text")).to_pylist()]
-            keep = [i for i, n in enumerate(b.schema.names) if n != "__text"]
-            cols = [b.column(i) for i in keep] + [pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays(cols, names=[b.schema.names[i] for i in keep] + [n for n, _ in added])
+            rows = [fn(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            cols = [*b.columns[:-1], *(pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(added))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], *(n for n, _ in added)])
 
     kept = [c for c in df.columns if not (replace and c == text_col)]
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(fresh(df, "__text")))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     return src.mapInArrow(run, f"{head}, {ddl}" if head else ddl)
 

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.llm.shared import fresh
+
 #: Bound of the training sample: documents a label, chunks a document.
 PER_CLASS, TRAIN_CHUNKS = 1500, 8
 CHUNK, STEP = 512, 384
@@ -203,14 +205,15 @@ def score(docs: DataFrame, net: Net, text_col: str = "text", out_col: str = "sco
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], out_col])
 
     kept = [f for f in docs.schema.fields if f.name != out_col]
-    src = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias("__text"))
+    src = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias(fresh(docs, "__text")))
     return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` double"]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score reaches the threshold; same columns."""
-    scored = score(docs, train(docs, labels), out_col="__score")
-    return scored.where(F.col("__score") >= threshold).drop("__score")
+    name = fresh(docs, "__score")
+    scored = score(docs, train(docs, labels), out_col=name)
+    return scored.where(F.col(name) >= threshold).drop(name)
 
 
 def scores_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -39,6 +39,14 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag, codec))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
