@@ -36,11 +36,15 @@ def block_index(df: DataFrame, key: str, size: Column, limit: int = 4096) -> Dat
 
 
 def prefix_compressed(df: DataFrame, key: str, restart: int = 16, within: str | None = None) -> DataFrame:
-    """Each key's shared prefix with the key before it, 0 at every restart point."""
-    w = Window.partitionBy(within).orderBy(key) if within else Window.orderBy(key)
+    """Each key's shared prefix with the key before it, 0 at every restart point. Without `within`, keys are dealt into ranges,
+    as they are into files, and every range starts anew."""
+    if within is None:
+        spark = df.sparkSession
+        df = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).withColumn("__range", F.spark_partition_id())
+    w = Window.partitionBy(within or "__range").orderBy(key)
     place = F.row_number().over(w) - 1
     shared = F.when(place % restart == 0, 0).otherwise(shared_prefix(F.lag(key).over(w).cast("binary"), F.col(key).cast("binary")))
-    return df.withColumn("shared_len", shared)
+    return df.withColumn("shared_len", shared).drop("__range")
 
 
 def overlapping(files: DataFrame, intervals: DataFrame) -> DataFrame:
