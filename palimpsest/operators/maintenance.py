@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palimpsest.functions.codec import shared_prefix
+from palimpsest.functions.codec import record_crc, shared_prefix
 from palimpsest.model import DELETE, STANDARD, Columns
 
 
@@ -67,6 +67,13 @@ def compact(log: DataFrame, partitions: int, c: Columns = STANDARD) -> DataFrame
     return merged.repartitionByRange(partitions, c.key).sortWithinPartitions(F.asc(c.key), F.desc(c.ts))
 
 
+def recover(records: DataFrame, file: str = "file", seq: str = "seq", crc: str = "crc") -> DataFrame:
+    """The records (op, key, value binary) to replay: of each file those before its first record whose checksum fails."""
+    bad = record_crc(F.col("op"), F.col("key"), F.col("value")) != F.col(crc)
+    stops = records.where(bad | F.col(crc).isNull()).groupBy(file).agg(F.min(seq).alias("__stop"))
+    return records.join(stops, file, "left").where(F.col("__stop").isNull() | (F.col(seq) < F.col("__stop"))).drop("__stop")
+
+
 def manifest_after(manifest: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """The file set once inputs are replaced by outputs."""
     return manifest.join(inputs.select("file"), "file", "left_anti").unionByName(outputs)

@@ -325,6 +325,17 @@ def record_checksum(spark, sf_dir):
     return log.select("key", "commit_ts", crc.alias("crc"))
 
 
+@query("""with r as (select event_id % 8 as file, event_id as seq, event_id % 1999 = 1500 as bad from events)
+select r.file, r.seq from r left join (select file, min(seq) as stop from r where bad group by file) s on r.file = s.file where s.stop is null or r.seq < s.stop""")
+def wal_recovery(spark, sf_dir):
+    """Log records as eight files, some checksums damaged; each file replays up to its first damaged record."""
+    log = _log(spark, sf_dir).select("commit_ts", "op", F.col("key").cast("string").cast("binary").alias("key"), F.col("value").cast("string").cast("binary").alias("value"))
+    crc = codec.record_crc(F.col("op"), F.col("key"), F.col("value"))
+    damaged = F.when(F.col("commit_ts") % 1999 == 1500, crc + 1).otherwise(crc)
+    records = log.select((F.col("commit_ts") % 8).alias("file"), F.col("commit_ts").alias("seq"), "op", "key", "value", damaged.alias("crc"))
+    return maintenance.recover(records).select("file", "seq")
+
+
 @query(f"select key::varchar as key, op, value::varchar is not null as has_value, commit_ts from {_LOG}")
 def command_round_trip(spark, sf_dir):
     log = _log(spark, sf_dir)
