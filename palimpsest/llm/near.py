@@ -6,7 +6,7 @@ lists keep, per class, its rarest ones: as many as make sure that two sets of at
 similarity meet in a list (for sets no larger than the sketch for certain, else with a chance of missing
 below 1e-9 a pair). Passages that many documents share are common values, so they hardly enter the lists.
 
-Lists never turn into all their pairs. First every member is held against three hubs of each list; the
+Lists never turn into all their pairs. First every member is held against two hubs of each list; the
 links found are contracted to components. What is then left in one list but in different components is
 compared in full: pair by pair in short lists, by blocks of documents and matrix products in long ones, where
 no row a pair is ever made. Pairs pass an estimate from the union of both sketches and are confirmed by exact
@@ -140,11 +140,11 @@ def _ordered(a: str, na: str, b: str, nb: str):
 
 
 def hub_pairs(lists: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of members with three hubs of each list; lists of two give their one pair."""
-    one, two = F.xxhash64("v", "node"), F.xxhash64("node", "v")
-    who = F.struct("node", "n")
-    hubs = lists.groupBy("v").agg(F.min(F.struct(one.alias("h"), who.alias("w"))).alias("x"), F.max(F.struct(one.alias("h"), who.alias("w"))).alias("y"), F.min(F.struct(two.alias("h"), who.alias("w"))).alias("z"), F.count("*").alias("c")).where("c > 1")
-    hubs = hubs.select("v", F.explode(F.array_distinct(F.array("x.w", "y.w", "z.w"))).alias("hub"))
+    """Distinct pairs of members with two hubs of each list, its first and last member in one order of all documents: lists
+    with much the same members have the same hubs."""
+    who = F.struct(F.xxhash64("node").alias("h"), "node", "n")
+    hubs = lists.groupBy("v").agg(F.min(who).alias("x"), F.max(who).alias("y"), F.count("*").alias("c")).where("c > 1")
+    hubs = hubs.select("v", F.explode(F.array("x", "y")).alias("hub"))
     met = lists.join(hubs, "v").select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).where("node <> hub")
     return met.select(*_ordered("node", "n", "hub", "hub_n")).where(_sizes_fit(threshold)).distinct()
 
