@@ -28,6 +28,9 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
+#: Digests of hits are broadcast up to this count (about 60 MB); beyond it texts and digests are shuffled.
+BROADCAST_HITS = 500_000
+
 
 def normalise(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")
@@ -87,8 +90,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     found = _through_state(prints, source, digest_of(F.col("text_sha256")), bytes_per_batch)
 
     hits = found.where("group_size > 1").select("digest")
+    few = hits.count() <= BROADCAST_HITS
     texts = named.select(digest_of(F.col("text_sha256")).alias("digest"), "id", "file", "row", "n_points", "text_sha256", "norm")
-    spread = texts.select("digest", "norm").join(hits, "digest").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    held = texts.select("digest", "norm", F.pmod(F.xxhash64("file", "row"), F.lit(64)).alias("salt")).join(F.broadcast(hits) if few else hits, "digest")
+    # with the rows dealt anew after it, a join over many hits may split a hot digest; least and greatest combine before they meet
+    spread = (held if few else held.repartition("digest", "salt")).groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     mixed = materialise(spread.where("least <> most").select("digest"), "exact-mixed")
 
     rows = prints.withColumn("digest", digest_of(F.col("text_sha256")))
