@@ -1,10 +1,12 @@
 """Line deduplication by winnowing.
 
-A text is a run of lines; long lines are cut after sentence ends as well. Of every WINDOW neighbouring line
-hashes the least (rightmost on ties) is a fingerprint, and so is every line of at least `min_chars`. Any repeated
-run of WINDOW lines, or holding one such long line, therefore has a fingerprint. Each fingerprint is joined
-to its earliest occurrence (in its own text: to the one before), the match is extended both ways line by
-line, and later runs of at least `min_chars` that have WINDOW lines or a long one are deleted. The earliest
+A text is a run of lines; long lines are cut after sentence ends as well. Two neighbouring line hashes make
+a gram; of every three neighbouring grams the least (rightmost on ties) is a fingerprint, and so is every line
+of at least `min_chars`. Any repeated run of RUN = 4 lines, or holding one such long line, therefore has a
+fingerprint. Each fingerprint is joined to its earliest occurrence (in its own text: to the one before), the
+match is extended both ways line by line, and later runs of at least `min_chars` that have RUN lines or a long
+one are deleted, and so are runs that go on to the end of the extension, however short their lines. Overlapping
+runs are deleted together. The earliest
 copy of every line stays, in the order of ids, then of rows.
 
 Lines count as equal when equal up to white space at their ends. Null text stays null; empty texts and
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from palimpsest.llm.exact import located
 from palimpsest.llm.shared import materialise
 
-WINDOW, MIN_CHARS = 3, 60
+RUN, MIN_CHARS, REACH = 4, 60, 4
 _CUT = "\x01"
 
 
@@ -32,23 +34,26 @@ def units(text: Column) -> Column:
     return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(_CUT)), F.split(F.coalesce(text, F.lit("")), r"(?<=\n)|(?<=[.!?] )")).otherwise(plain)
 
 
-def fingerprints(table: DataFrame, window: int, min_chars: int) -> DataFrame:
-    """(h, doc, pos) of the selected lines; positions count from 1."""
-    n = F.size("hs")
-    minima = F.expr(
-        f"""transform(sequence(1, greatest(size(hs) - {window - 1}, 1)), j ->
-            j + {window} - array_position(reverse(concat(slice(hs, j, {window}), array_repeat(cast(null as bigint), {window} - size(slice(hs, j, {window}))))),
-                array_min(slice(hs, j, {window}))))"""
-    )
-    long = F.expr(f"filter(sequence(1, size(hs)), i -> lens[i - 1] >= {min_chars})")
-    picked = F.array_distinct(F.concat(minima.cast("array<int>"), long))
-    return table.where(n > 0).select("doc", F.explode(picked).alias("pos"), "hs").select(F.element_at("hs", F.col("pos")).alias("h"), "doc", "pos")
+def fingerprints(table: DataFrame, min_chars: int) -> DataFrame:
+    """(h, doc, pos) of the selected grams and long lines, written once; positions count from 1."""
+    grams = F.expr("if(size(hs) < 2, cast(array() as array<bigint>), transform(sequence(1, size(hs) - 1), i -> xxhash64(hs[i - 1], hs[i])))")
+    # least of one of the three windows that hold gram i, rightmost on ties; what lies outside the text never wins
+    before, after = "coalesce(gs[i - 1] <= get(gs, i - {}), true)", "coalesce(gs[i - 1] < get(gs, i + {}), true)"
+    b1, b2, a1, a2 = before.format(2), before.format(3), after.format(0), after.format(1)
+    chosen = F.expr(f"transform(filter(sequence(1, size(gs)), i -> ({b1} and {b2}) or ({b1} and {a1}) or ({a1} and {a2})), i -> struct(gs[i - 1] as h, i as pos))")
+    none = F.expr("cast(array() as array<struct<h:bigint,pos:int>>)")
+    long = F.expr(f"transform(filter(sequence(1, size(hs)), i -> lens[i - 1] >= {min_chars}), i -> struct(hs[i - 1] as h, i as pos))")
+    picked = table.where(F.size("hs") > 0).select("doc", "hs", "lens", grams.alias("gs"))
+    picked = picked.select("doc", F.explode(F.concat(F.when(F.size("gs") > 0, chosen).otherwise(none), long)).alias("x"))
+    return materialise(picked.select("x.h", "doc", "x.pos"), "lines-prints")
 
 
 def seeds(prints: DataFrame) -> DataFrame:
     """Every later occurrence with the one it repeats: (doc, pos, source, source_pos)."""
     first = prints.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    met = prints.join(first.select("h", "first"), "h").select("h", "doc", "pos", F.col("first.doc").alias("source"), F.col("first.pos").alias("source_pos"))
+    # written first: a join of two tables lets a hot fingerprint be split, one above an aggregation doesn't
+    first = materialise(first.select("h", "first"), "lines-first")
+    met = prints.join(first, "h").select("h", "doc", "pos", F.col("first.doc").alias("source"), F.col("first.pos").alias("source_pos"))
     met = materialise(met.where("doc <> source or pos <> source_pos"), "lines-seeds")
     other = met.where("doc <> source").drop("h")
     own = met.where("doc = source")
@@ -57,48 +62,54 @@ def seeds(prints: DataFrame) -> DataFrame:
     return other.unionByName(own)
 
 
-def runs(found: DataFrame, table: DataFrame, window: int, min_chars: int) -> DataFrame:
-    """Matches extended both ways: (doc, start, stop) of the runs to delete, positions from 1, both ends included."""
-    ways = found.groupBy("doc", "source", (F.col("pos") - F.col("source_pos")).alias("shift")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    mine = table.select("doc", "hs", "lens")
-    theirs = table.select(F.col("doc").alias("source"), F.col("hs").alias("source_hs"))
-    both = ways.join(mine, "doc").join(theirs, "source")
-    lo, hi = "greatest(1, 1 + shift)", "least(size(hs), size(source_hs) + shift)"
-    breaks = F.expr(f"concat(array({lo} - 1), filter(sequence({lo}, {hi}), i -> hs[i - 1] <> source_hs[i - shift - 1]), array({hi} + 1))")
-    # between neighbouring breaks everything agrees; keep the stretches that hold a seed
-    stretches = F.expr(
-        """filter(transform(sequence(1, size(breaks) - 1), k -> struct(breaks[k - 1] + 1 as start, breaks[k] - 1 as stop)), x -> x.stop >= x.start)"""
+def runs(found: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
+    """Matches extended both ways: (doc, start, stop) of the runs to delete, positions from 1, both ends included.
+
+    A seed is extended by at most REACH lines a side. Fingerprints stand at most three lines apart, so a longer
+    run has further seeds and its pieces overlap; only these few lines travel, never whole texts.
+    """
+    near = f"sequence(-{REACH}, {REACH})"
+    lines = table.select(F.col("doc").alias("of"), "hs", "lens")
+    mine = found.join(lines, found["doc"] == lines["of"]).select(
+        "doc", "pos", "source", "source_pos", F.expr(f"transform({near}, i -> get(hs, pos + i - 1))").alias("mine"), F.expr(f"transform({near}, i -> coalesce(get(lens, pos + i - 1), 0))").alias("lens")
+    )
+    both = mine.join(lines.select("of", "hs"), mine["source"] == lines["of"]).select("doc", "pos", "mine", "lens", F.expr(f"transform({near}, i -> get(hs, source_pos + i - 1))").alias("theirs"))
+    same = F.expr("transform(zip_with(mine, theirs, (x, y) -> coalesce(x = y, false)), (x, i) -> if(x, null, i))")
+    # REACH is the seed's own place; the nearest disagreements around it end the run
+    spans = both.withColumn("odd", F.array_compact(same)).select(
+        "doc", "pos", "lens", F.expr(f"coalesce(array_max(filter(odd, i -> i < {REACH})), -1) + 1").alias("lo"), F.expr(f"coalesce(array_min(filter(odd, i -> i > {REACH})), {2 * REACH + 1}) - 1").alias("hi"), F.array_contains("odd", REACH).alias("bad")
     )
-    spans = both.withColumn("breaks", breaks).select("doc", "at", "lens", F.explode(stretches).alias("x")).select("doc", "at", "lens", "x.start", "x.stop")
-    spans = spans.where(F.expr("exists(at, p -> p between start and stop)"))
-    inside = F.expr("slice(lens, start, stop - start + 1)")
+    inside = F.expr("slice(lens, lo + 1, hi - lo + 1)")
     chars = F.aggregate(inside, F.lit(0), lambda a, x: a + x)
-    return spans.where((chars >= min_chars) & ((F.size(inside) >= window) | (F.array_max(inside) >= min_chars))).select("doc", "start", "stop").distinct()
+    enough = (chars >= min_chars) & ((F.size(inside) >= RUN) | (F.array_max(inside) >= min_chars))
+    good = spans.where(~F.col("bad") & (enough | (F.col("lo") == 0) | (F.col("hi") == 2 * REACH)))
+    return good.select("doc", (F.col("pos") + F.col("lo") - REACH).alias("start"), (F.col("pos") + F.col("hi") - REACH).alias("stop")).distinct()
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_chars: int = MIN_CHARS, stats: bool = False) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, stats: bool = False) -> DataFrame:
     """docs with later repeated runs deleted from text_col; with stats also __runs and __removed_chars."""
     src = located(docs)
-    doc = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64("__file").alias("f"), F.col("__row").alias("r")).alias("doc")
+    doc = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64("__locator_file").alias("f"), F.col("__locator_row").alias("r")).alias("doc")
     cut = src.select(doc, units(F.col(f"`{text_col}`")).alias("u"))
     hashes = F.transform("u", lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\n\x0b\f\r"))))
     table = materialise(cut.select("doc", hashes.alias("hs"), F.transform("u", F.length).alias("lens")), "lines-hashes")
-    found = seeds(fingerprints(table, window, min_chars))
-    gone = runs(found, table, window, min_chars).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    found = seeds(fingerprints(table, min_chars))
+    gone = runs(found, table, min_chars).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
     kept = F.expr(
-        """aggregate(gone, named_struct('at', 1, 'kept', cast(array() as array<struct<start:int,n:int>>)), (a, x) -> named_struct(
+        """aggregate(gone, named_struct('at', 1, 'runs', 0, 'kept', cast(array() as array<struct<start:int,n:int>>)), (a, x) -> named_struct(
             'at', greatest(a.at, x.stop + 1),
+            'runs', a.runs + if(a.runs = 0 or x.start > a.at, 1, 0),
             'kept', if(x.start > a.at, concat(a.kept, array(named_struct('start', a.at, 'n', x.start - a.at))), a.kept)))"""
     )
-    gone = materialise(gone.select("doc", kept.alias("k"), F.size("gone").alias("runs")), "lines-gone")
-    named = src.withColumn("__doc", doc)
-    joined = named.join(gone, named["__doc"] == gone["doc"], "left").withColumn("__u", units(F.col(f"`{text_col}`")))
-    rest = F.expr("concat_ws('', flatten(transform(concat(k.kept, array(named_struct('start', k.at, 'n', greatest(size(__u) - k.at + 1, 0)))), x -> slice(__u, x.start, x.n))))")
-    text = F.when(F.col("k").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
-    out = joined.withColumn("__text", text)
-    cols = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("__file", "__row")]
+    gone = materialise(gone.select(F.col("doc").alias("__line_doc"), kept.alias("__line_kept")), "lines-gone")
+    named = src.withColumn("__line_key", doc)
+    joined = named.join(gone, F.col("__line_key") == F.col("__line_doc"), "left").withColumn("__line_units", F.when(F.col("__line_kept").isNotNull(), units(F.col(f"`{text_col}`"))))
+    rest = F.expr("concat_ws('', flatten(transform(concat(__line_kept.kept, array(named_struct('start', __line_kept.at, 'n', greatest(size(__line_units) - __line_kept.at + 1, 0)))), x -> slice(__line_units, x.start, x.n))))")
+    text = F.when(F.col("__line_kept").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
+    out = joined.withColumn("__line_text", text)
+    cols = [F.col("__line_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("__locator_file", "__locator_row")]
     if stats:
-        cols += [F.coalesce("runs", F.lit(0)).cast("bigint").alias("__runs"), (F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) - F.length(F.coalesce("__text", F.lit("")))).cast("bigint").alias("__removed_chars")]
+        cols += [F.coalesce("__line_kept.runs", F.lit(0)).cast("bigint").alias("__runs"), (F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) - F.length(F.coalesce("__line_text", F.lit("")))).cast("bigint").alias("__removed_chars")]
     return out.select(*cols)
 
 
