@@ -15,13 +15,12 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.shared import fresh
+from palimpsest.llm.shared import append_columns
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -286,15 +285,7 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """df without html_col and with the main text in out_col; a column already called out_col is replaced."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([main_text(x) for x in b.column(b.num_columns - 1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*b.schema.names[:-1], out_col])
-
-    kept = [f for f in df.schema.fields if f.name not in (out_col, html_col)]
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{html_col}`").alias(fresh(df, "__html")))
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` string"]))
+    return append_columns(df, html_col, lambda pages: [pa.array([main_text(x) for x in pages], pa.string())], [(out_col, "string")], drop_source=True)
 
 
 def main_text_query(pages: DataFrame) -> DataFrame:

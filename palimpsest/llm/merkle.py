@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.shared import fresh
+from palimpsest.llm.shared import append_columns
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -168,15 +168,7 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """df with a fingerprint per row; a column already called out_col is replaced."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = pa.array([fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], out_col])
-
-    kept = [f for f in df.schema.fields if f.name != out_col]
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias(fresh(df, "__text")))
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` string"]))
+    return append_columns(df, text_col, lambda texts: [pa.array([fingerprint(t) for t in texts], pa.string())], [(out_col, "string")])
 
 
 # ---- each document beside the next one ----------------------------------------------------------------

@@ -13,12 +13,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from palimpsest.llm.shared import fresh
+from palimpsest.llm.shared import append_columns
 
 MARK = "▁"
 
@@ -105,50 +104,23 @@ def default_model() -> str:
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model_file: str | None = None) -> DataFrame:
     """df with an array of piece ids per row; a column already called out_col is replaced."""
     model = model_file or default_model()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for b in batches:
-            ids = pa.array([c.encode(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*b.schema.names[:-1], out_col])
-
-    src = df.drop(out_col) if out_col != text_col else df
-    kept = [f for f in src.schema.fields if f.name != out_col]
-    src = src.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias(fresh(df, "__text")))
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` array<int>"]))
+    return append_columns(df, text_col, lambda texts: [pa.array([codec(model).encode(t) for t in texts], pa.list_(pa.int32()))], [(out_col, "array<int>")])
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "text", model_file: str | None = None) -> DataFrame:
     """df with the decoded text of each id array; null or empty arrays give the empty text."""
     model = model_file or default_model()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for b in batches:
-            texts = pa.array([c.decode(i) for i in b.column(b.num_columns - 1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*b.schema.names[:-1], out_col])
-
-    kept = [f for f in df.schema.fields if f.name != out_col]
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{ids_col}`").alias(fresh(df, "__ids")))
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` string"]))
+    return append_columns(df, ids_col, lambda rows: [pa.array([codec(model).decode(ids) for ids in rows], pa.string())], [(out_col, "string")])
 
 
 def digest_query(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """The contract's columns per document."""
     model = model_file or default_model()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def made(texts: list) -> list[pa.Array]:
+        rows = [(n, sha(joined), sha(decoded)) for n, joined, decoded in map(codec(model).digest_parts, texts)]
+        return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for t in b.column(1).to_pylist():
-                count, joined, decoded = c.digest_parts(t)
-                n.append(count)
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    columns = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    return append_columns(docs.select("doc_id", "text"), "text", made, columns, drop_source=True)

@@ -18,7 +18,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.shared import fresh
+from palimpsest.llm.shared import append_columns
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "local_phone")
@@ -124,31 +124,12 @@ def _join(spans: list[Span]) -> str:
     return ",".join(f"{x.kind}:{x.start}:{x.end}" for x in spans)
 
 
-def _map_texts(df: DataFrame, text_col: str, fn, added: list[tuple[str, pa.DataType]], ddl: str, replace: bool = False) -> DataFrame:
-    """Append fn(text)'s values to every row, batch by batch; other columns pass through untouched."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [fn(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            cols = [*b.columns[:-1], *(pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(added))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], *(n for n, _ in added)])
-
-    kept = [c for c in df.columns if not (replace and c == text_col)]
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(fresh(df, "__text")))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{head}, {ddl}" if head else ddl)
-
-
 _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
 def detect(df: DataFrame, text_col: str = "text", out_col: str = "pii", threshold: float = 0.6, window: int = 48) -> DataFrame:
     """df with an array of scored spans per row; a column already called out_col is replaced."""
-
-    def one(text):
-        return ([x._asdict() for x in find_spans(text, threshold, window)],)
-
-    return _map_texts(df.drop(out_col) if out_col != text_col else df, text_col, one, [(out_col, _SPAN_ARROW)], f"`{out_col}` {SPAN_TYPE}")
+    return append_columns(df, text_col, lambda texts: [pa.array([[x._asdict() for x in find_spans(t, threshold, window)] for t in texts], _SPAN_ARROW)], [(out_col, SPAN_TYPE)])
 
 
 def redact_text(text: str | None, threshold: float = 0.6, window: int = 48) -> str | None:
@@ -166,19 +147,23 @@ def redact_text(text: str | None, threshold: float = 0.6, window: int = 48) -> s
 
 def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.6, window: int = 48) -> DataFrame:
     """df with text_col redacted, same columns in the same order; null stays null."""
-    done = _map_texts(df, text_col, lambda t: (redact_text(t, threshold, window),), [(text_col, pa.string())], f"`{text_col}` string", replace=True)
+    done = append_columns(df, text_col, lambda texts: [pa.array([redact_text(t, threshold, window) for t in texts], pa.string())], [(text_col, "string")])
     return done.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def digest_query(docs: DataFrame) -> DataFrame:
     """The contract's columns per document."""
 
-    def one(text):
-        spans = find_spans(text)
-        base = [x for x in spans if x.kind in BASE_KINDS]
-        counts = [sum(x.kind == k for x in base) for k in BASE_KINDS]
-        return (*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans))
-
-    added = [(f"n_{k}", pa.int64()) for k in BASE_KINDS] + [("base_sha256", pa.string()), ("spans", pa.string())]
-    ddl = ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string"
-    return _map_texts(docs.select("doc_id", "text"), "text", one, added, ddl, replace=True)
+    def made(texts: list) -> list[pa.Array]:
+        counts, digests, joined = [[] for _ in BASE_KINDS], [], []
+        for t in texts:
+            spans = find_spans(t)
+            base = [x for x in spans if x.kind in BASE_KINDS]
+            for k, out in zip(BASE_KINDS, counts):
+                out.append(sum(x.kind == k for x in base))
+            digests.append(hashlib.sha256(_join(base).encode()).hexdigest())
+            joined.append(_join(spans))
+        return [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string())]
+
+    columns = [*((f"n_{k}", "bigint") for k in BASE_KINDS), ("base_sha256", "string"), ("spans", "string")]
+    return append_columns(docs.select("doc_id", "text"), "text", made, columns, drop_source=True)

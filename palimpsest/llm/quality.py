@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.shared import fresh
+from palimpsest.llm.shared import append_columns, fresh
 
 #: Bound of the training sample: documents a label, chunks a document.
 PER_CLASS, TRAIN_CHUNKS = 1500, 8
@@ -198,15 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, net: Net, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with the probability of label 1; a column already called out_col is replaced."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = pa.array(net.scores(b.column(b.num_columns - 1).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], out_col])
-
-    kept = [f for f in docs.schema.fields if f.name != out_col]
-    src = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias(fresh(docs, "__text")))
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out_col}` double"]))
+    return append_columns(docs, text_col, lambda texts: [pa.array(net.scores(texts), pa.float64())], [(out_col, "double")])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -219,6 +211,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def scores_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns per document."""
     net = train(docs, labels)
-    src = docs.select("doc_id", "text")
-    scored = score(src.withColumn("held_out", held_out(F.col("doc_id"))), net).drop("text")
+    scored = score(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), net)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

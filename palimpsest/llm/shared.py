@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _own: list[str] = []
 
@@ -47,6 +49,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def append_columns(df: DataFrame, source: str, made: Callable[[list], list[pa.Array]], columns: list[tuple[str, str]], drop_source: bool = False) -> DataFrame:
+    """df with columns (name, Spark type) that made() gives for each Arrow batch of the source column's values.
+
+    The other columns pass through untouched; those already called like a new one are replaced.
+    """
+    names = [n for n, _ in columns]
+    kept = [f for f in df.schema.fields if f.name not in names and not (drop_source and f.name == source)]
+    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias(fresh(df, "__source")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made(b.column(b.num_columns - 1).to_pylist())], names=[*b.schema.names[:-1], *names])
+
+    return src.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*((f.name, f.dataType.simpleString()) for f in kept), *columns]))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
