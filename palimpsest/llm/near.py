@@ -144,7 +144,8 @@ def hub_pairs(lists: DataFrame, threshold: float) -> DataFrame:
     with much the same members have the same hubs."""
     who = F.struct(F.xxhash64("node").alias("h"), "node", "n")
     hubs = lists.groupBy("v").agg(F.min(who).alias("x"), F.max(who).alias("y"), F.count("*").alias("c")).where("c > 1")
-    hubs = hubs.select("v", F.explode(F.array("x", "y")).alias("hub"))
+    # written first, so that their size is known when the join is planned: few hubs are broadcast and the lists stay where they are
+    hubs = materialise(hubs.select("v", F.explode(F.array("x", "y")).alias("hub")), "near-hubs")
     met = lists.join(hubs, "v").select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).where("node <> hub")
     return met.select(*_ordered("node", "n", "hub", "hub_n")).where(_sizes_fit(threshold)).distinct()
 
@@ -153,6 +154,7 @@ def open_lists(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """What the hubs left undecided: (v, node, n, part, c) of lists that hold more than one component."""
     named = lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     undecided = named.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("v", "c")
+    undecided = materialise(undecided, "near-undecided")
     return materialise(named.join(undecided, "v").select("v", "node", "n", "part", "c"), "near-open")
 
 
@@ -331,7 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = named.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("digest", F.col("x.id").alias("node"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch"))
     classes = materialise(grouped, "near-classes")
     lists = inverted_lists(classes, threshold)
-    pairs = materialise(hub_pairs(lists, threshold), "near-hubs")
+    pairs = materialise(hub_pairs(lists, threshold), "near-pairs")
     links = confirm(pairs, classes, docs, id_col, text_col, words, threshold)
     parts = materialise(components(links), "near-parts")
     left = open_lists(lists, parts)
