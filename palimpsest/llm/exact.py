@@ -19,7 +19,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.shared import is_empty, materialise, work_path, write_table
+from palimpsest.llm.shared import is_empty, materialise, write_table
+from palimpsest.sources.workspace import workspace
 
 #: Disk-backed state; change logs in place of whole snapshots, and no files preallocated (4 MB a partition otherwise).
 _STATE_CONF = {
@@ -59,7 +60,7 @@ def _candidate(id_col: str = "id") -> Column:
 def _through_state(prints: DataFrame, source: str, digest: Column, bytes_per_batch: int | None) -> DataFrame:
     """Stream the table of prints at source through keyed state and read the state back: digest, keep, group_size."""
     spark = prints.sparkSession
-    held, path = {k: spark.conf.get(k, None) for k in _STATE_CONF}, work_path(spark, "exact-state")
+    held, path = {k: spark.conf.get(k, None) for k in _STATE_CONF}, workspace(spark, "exact-state")
     reader = spark.readStream.schema(prints.schema)
     if bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", str(bytes_per_batch))

@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_own: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="palimpsest-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    return f"file://{_own[0]}"
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
+from palimpsest.sources.workspace import workspace
 
 def write_table(df: DataFrame, tag: str, codec: str = "zstd") -> str:
     """Write df once to the shared folder; its path."""
-    path = work_path(df.sparkSession, tag)
+    path = workspace(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
     return path
 
