@@ -1,13 +1,13 @@
 """Line deduplication by winnowing.
 
-A text is a run of lines; long lines are cut after sentence ends as well. Two neighbouring line hashes make
-a gram; of every three neighbouring grams the least (rightmost on ties) is a fingerprint, and so is every line
-of at least `min_chars`. Any repeated run of RUN = 4 lines, or holding one such long line, therefore has a
-fingerprint. Each fingerprint is joined to its earliest occurrence (in its own text: to the one before), the
-match is extended both ways line by line, and later runs of at least `min_chars` that have RUN lines or a long
-one are deleted, and so are runs that go on to the end of the extension, however short their lines. Overlapping
-runs are deleted together. The earliest
-copy of every line stays, in the order of ids, then of rows.
+A text is a run of lines; long lines are cut after full stops as well. Three neighbouring line hashes make
+a gram; of every two neighbouring grams the least (rightmost on ties) is a fingerprint, and so is every line
+of at least `min_chars`, which spares the grams that hold one. Any repeated run of RUN = 4 lines, or holding
+one such long line, therefore has a fingerprint. Each fingerprint is joined to its earliest occurrence (in its
+own text: to the one before) and the match is extended both ways line by line. Later runs are deleted if they
+have `min_chars` and either RUN lines or a long one, or if they go on to the end of the extension, however
+short their lines; overlapping ones together. The earliest copy of every line stays, in the order of ids,
+then of rows.
 
 Lines count as equal when equal up to white space at their ends. Null text stays null; empty texts and
 tables pass through. Rows with equal or null ids are separate texts. Other columns pass through untouched.
@@ -28,19 +28,20 @@ _CUT = "\x01"
 def units(text: Column) -> Column:
     """The lines of text, each with what ends it, so that they join to the text again."""
     marked = F.coalesce(text, F.lit(""))
-    for end in ("\n", ". ", "! ", "? "):
+    for end in ("\n", ". "):
         marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
     plain = F.split(marked, _CUT)
-    return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(_CUT)), F.split(F.coalesce(text, F.lit("")), r"(?<=\n)|(?<=[.!?] )")).otherwise(plain)
+    return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(_CUT)), F.split(F.coalesce(text, F.lit("")), r"(?<=\n)|(?<=[.] )")).otherwise(plain)
 
 
 def fingerprints(table: DataFrame, min_chars: int) -> DataFrame:
     """(h, doc, pos) of the selected grams and long lines, written once; positions count from 1."""
-    grams = F.expr("if(size(hs) < 2, cast(array() as array<bigint>), transform(sequence(1, size(hs) - 1), i -> xxhash64(hs[i - 1], hs[i])))")
-    # least of one of the three windows that hold gram i, rightmost on ties; what lies outside the text never wins
-    before, after = "coalesce(gs[i - 1] <= get(gs, i - {}), true)", "coalesce(gs[i - 1] < get(gs, i + {}), true)"
-    b1, b2, a1, a2 = before.format(2), before.format(3), after.format(0), after.format(1)
-    chosen = F.expr(f"transform(filter(sequence(1, size(gs)), i -> ({b1} and {b2}) or ({b1} and {a1}) or ({a1} and {a2})), i -> struct(gs[i - 1] as h, i as pos))")
+    grams = F.expr("if(size(hs) < 3, cast(array() as array<bigint>), transform(sequence(1, size(hs) - 2), i -> xxhash64(hs[i - 1], hs[i], hs[i + 1])))")
+    # least of one of the two windows that hold gram i, rightmost on ties; what lies outside the text never wins. A gram with a long
+    # line in it isn't needed: the line is a fingerprint itself
+    least = "coalesce(gs[i - 1] <= get(gs, i - 2), true) or coalesce(gs[i - 1] < get(gs, i), true)"
+    short = f"lens[i - 1] < {min_chars} and lens[i] < {min_chars} and lens[i + 1] < {min_chars}"
+    chosen = F.expr(f"transform(filter(sequence(1, size(gs)), i -> {short} and ({least})), i -> struct(gs[i - 1] as h, i as pos))")
     none = F.expr("cast(array() as array<struct<h:bigint,pos:int>>)")
     long = F.expr(f"transform(filter(sequence(1, size(hs)), i -> lens[i - 1] >= {min_chars}), i -> struct(hs[i - 1] as h, i as pos))")
     picked = table.where(F.size("hs") > 0).select("doc", "hs", "lens", grams.alias("gs"))
@@ -65,7 +66,7 @@ def seeds(prints: DataFrame) -> DataFrame:
 def runs(found: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
     """Matches extended both ways: (doc, start, stop) of the runs to delete, positions from 1, both ends included.
 
-    A seed is extended by at most REACH lines a side. Fingerprints stand at most three lines apart, so a longer
+    A seed is extended by at most REACH lines a side. A run's fingerprints stand no further apart, so a longer
     run has further seeds and its pieces overlap; only these few lines travel, never whole texts.
     """
     near = f"sequence(-{REACH}, {REACH})"
