@@ -104,7 +104,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     gone = materialise(gone.select(F.col("doc").alias("__line_doc"), kept.alias("__line_kept")), "lines-gone")
     named = src.withColumn("__line_key", doc)
-    joined = named.join(gone, F.col("__line_key") == F.col("__line_doc"), "left").withColumn("__line_units", F.when(F.col("__line_kept").isNotNull(), units(F.col(f"`{text_col}`"))))
+    # always by shuffle: what is deleted grows with the corpus, so a broadcast would only serve small ones
+    joined = named.join(gone.hint("merge"), F.col("__line_key") == F.col("__line_doc"), "left").withColumn("__line_units", F.when(F.col("__line_kept").isNotNull(), units(F.col(f"`{text_col}`"))))
     rest = F.expr("concat_ws('', flatten(transform(concat(__line_kept.kept, array(named_struct('start', __line_kept.at, 'n', greatest(size(__line_units) - __line_kept.at + 1, 0)))), x -> slice(__line_units, x.start, x.n))))")
     text = F.when(F.col("__line_kept").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
     out = joined.withColumn("__line_text", text)
