@@ -204,8 +204,12 @@ def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     percent, part_type = round(100 * threshold), members.schema["part"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
         def rows():
+            nonlocal kind
             for b in batches:
+                kind = b.schema.field(2).type
                 yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
 
         for _, some in itertools.groupby(rows(), key=lambda r: r[0]):
@@ -214,7 +218,7 @@ def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
                 sides[side].append((part, np.frombuffer(blob, np.int64)))
             edges = _forest(sides[0], sides[1] or sides[0], percent)
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*edges)], names=["a", "b"])
 
     sent = shipped.repartition("pair").sortWithinPartitions("pair", "side")
     return materialise(sent.mapInArrow(run, f"a {part_type}, b {part_type}"), "near-block-links")

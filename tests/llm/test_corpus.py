@@ -235,6 +235,13 @@ def test_components_equal_brute_force(spark, monkeypatch, short):
     assert got == brute_components(rows, 4)
 
 
+def test_string_ids(spark, monkeypatch):
+    monkeypatch.setattr(near, "SHORT", 2)
+    rows = [(f"d{i:03d}", t) for i, t in copies(5, 8)]
+    got = {r.id: r.component_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), words=4).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 4).items()}
+
+
 def test_hashes_follow_the_words():
     a = near.shingle_set("One two\tthree\nFOUR five", 4)
     assert len(a) == 2 and np.array_equal(a, near.shingle_set(" one TWO three four five ", 4))
