@@ -365,3 +365,23 @@ def components_query(docs: DataFrame) -> DataFrame:
     """The contract's columns per document: shingles of four words."""
     found = near_duplicates(docs.select("doc_id", "text"), words=4)
     return found.withColumnRenamed("id", "doc_id")
+
+
+#: Every pair of documents sharing a shingle is counted, so this is for small tables only.
+COMPONENTS_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) end as sh
+  from w),
+u as (select doc_id, unnest(sh) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from u a join u b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (
+  select x, y from p join s a on a.doc_id = x join s b on b.doc_id = y where 100 * i >= 80 * (len(a.sh) + len(b.sh) - i)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id, doc_id as reached from documents union select r.doc_id, e.y from r join e on e.x = r.reached)
+select r.doc_id, any_value(len(s.sh))::bigint as n_shingles, min(reached) as component_id, min(reached) = r.doc_id as kept
+from r join s on s.doc_id = r.doc_id group by r.doc_id
+"""

@@ -47,4 +47,4 @@ def op10_near(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_merkle, op3_exact, op4_pii, op5_lines, op6_packing, op7_extract, op8_chat, op9_pieces, op10_near)}
-ORACLE_SQL: dict[str, str] = {"op3_exact": exact.GROUPS_SQL, "op8_chat": chat.DIGEST_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact": exact.GROUPS_SQL, "op8_chat": chat.DIGEST_SQL, "op10_near": near.COMPONENTS_SQL}
