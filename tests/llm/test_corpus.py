@@ -109,8 +109,9 @@ def brute_groups(rows):
     return {k: (min(v, key=lambda x: (x[0], x[1], x[2] or 0))[2], len(v)) for k, v in groups.items()}
 
 
-@pytest.mark.parametrize("weak", [False, True])
-def test_exact_groups(spark, weak):
+@pytest.mark.parametrize("weak, few", [(False, 500_000), (True, 500_000), (True, 0)])
+def test_exact_groups(spark, monkeypatch, weak, few):
+    monkeypatch.setattr(exact, "BROADCAST_HITS", few)
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice(["a", "b", " ", "\n"]) for _ in range(rng.randint(0, 6)))) for i in range(200)] + EDGES
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -230,6 +231,7 @@ def copies(seed, n):
 def test_components_equal_brute_force(spark, monkeypatch, short):
     monkeypatch.setattr(near, "SHORT", short)
     monkeypatch.setattr(near, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(near, "BROADCAST_IDS", 2_000_000 if short == 2 else 0)
     rows = copies(short, 30)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.components_query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute_components(rows, 4)
