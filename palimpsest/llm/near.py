@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.shared import is_empty, materialise
+from palimpsest.llm.shared import is_empty, materialise, small_batches
 
 K, INDEX, MISS = 64, 32, 1e-9
 #: Ids of texts to be read again are broadcast up to this count (16 MB); beyond it the texts are shuffled.
@@ -322,16 +322,18 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("part")).union(e.select(F.col("v"), F.col("v")).distinct())
         seen = mark
+        # minima are written before they are joined, so that the rows of a hot node can be split (or few minima broadcast)
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "near-least")
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "near-large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "near-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = materialise(small.distinct(), "near-edges")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """id, n_shingles, component_id (least id reachable over links) and kept, a row per row of docs."""
+    small_batches(docs.sparkSession)
     signed = signatures(docs, id_col, text_col, words)
     named = signed.where("id is not null and digest is not null")
     grouped = named.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("digest", F.col("x.id").alias("node"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch"))
