@@ -21,6 +21,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from palimpsest.llm.shared import small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE_UNESCAPE = re.compile(r"\\(.)")
@@ -167,6 +169,7 @@ def format_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     """
     src = rows.select(F.col(f"`{key}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     key_type = src.schema["conv_id"].dataType.simpleString()
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None

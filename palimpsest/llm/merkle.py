@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.shared import append_columns
+from palimpsest.llm.shared import append_columns, small_batches
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -190,6 +190,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows dealt into ranges of ids and sorted descending, each range ended by a copy (`foreign`) of the row that follows it, the
     last range by the very first row. One shuffle of the texts; what reaches the driver is one id a range."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     keys = src.select("key")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.shared import materialise
+from palimpsest.llm.shared import materialise, small_batches
 
 #: A prefix-sum table of at most so many partitions is broadcast (16 bytes each); beyond it a shuffled join is used.
 BROADCAST_PARTITIONS = 1_000_000
@@ -61,6 +61,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     """Per document: its id, partition, token offset inside the partition, token count and ids (little-endian unsigned 16 bit
     where the vocabulary allows, else 32), the end id included. Rows are written to the shared folder."""
     files = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, at = _bpe(*files), TaskContext.get().partitionId(), 0
@@ -99,6 +100,7 @@ def cut(placed: DataFrame, length: int = 2048) -> DataFrame:
     sequence_id and offset."""
     if length < 1:
         raise ValueError("length must be positive")
+    small_batches(placed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

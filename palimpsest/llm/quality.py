@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.shared import append_columns, fresh
+from palimpsest.llm.shared import append_columns, fresh, small_batches
 
 #: Bound of the training sample: documents a label, chunks a document.
 PER_CLASS, TRAIN_CHUNKS = 1500, 8
@@ -179,6 +179,7 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
     """Fit on labelled rows that aren't held out. At most 2 * PER_CLASS documents of TRAIN_CHUNKS chunks reach the driver."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for y in (0, 1)]
     chosen = picked[0].union(picked[1])

@@ -29,11 +29,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of an Arrow batch sent to Python at once; a longer row travels alone.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, since texts may be long; a bound that the session already has is kept."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def append_columns(df: DataFrame, source: str, made: Callable[[list], list[pa.Array]], columns: list[tuple[str, str]], drop_source: bool = False) -> DataFrame:
     """df with columns (name, Spark type) that made() gives for each Arrow batch of the source column's values.
 
     The other columns pass through untouched; those already called like a new one are replaced.
     """
+    small_batches(df.sparkSession)
     names = [n for n, _ in columns]
     kept = [f for f in df.schema.fields if f.name not in names and not (drop_source and f.name == source)]
     src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias(fresh(df, "__source")))
