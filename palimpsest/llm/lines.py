@@ -1,6 +1,6 @@
 """Line deduplication by winnowing.
 
-A text is a run of lines; long lines are cut after full stops as well. Three neighbouring line hashes make
+A text is a run of lines; long lines are cut after full stops as well (in the query after '!' and '?' too). Three neighbouring line hashes make
 a gram; of every two neighbouring grams the least (rightmost on ties) is a fingerprint, and so is every line
 of at least `min_chars`, which spares the grams that hold one. Any repeated run of RUN = 4 lines, or holding
 one such long line, therefore has a fingerprint. Each fingerprint is joined to its earliest occurrence (in its
@@ -22,16 +22,18 @@ from palimpsest.llm.exact import located
 from palimpsest.llm.shared import materialise
 
 RUN, MIN_CHARS, REACH = 4, 60, 4
+#: What ends a sentence before a space, for the query.
+SENTENCE_ENDS = ".!?"
 _CUT = "\x01"
 
 
-def units(text: Column) -> Column:
-    """The lines of text, each with what ends it, so that they join to the text again."""
+def units(text: Column, ends: str = ".") -> Column:
+    """The lines of text, cut after each of ends before a space as well, each with what ends it, so that they join to the text again."""
     marked = F.coalesce(text, F.lit(""))
-    for end in ("\n", ". "):
+    for end in ("\n", *(e + " " for e in ends)):
         marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
     plain = F.split(marked, _CUT)
-    return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(_CUT)), F.split(F.coalesce(text, F.lit("")), r"(?<=\n)|(?<=[.] )")).otherwise(plain)
+    return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(_CUT)), F.split(F.coalesce(text, F.lit("")), rf"(?<=\n)|(?<=[{ends}] )")).otherwise(plain)
 
 
 def fingerprints(table: DataFrame, min_chars: int) -> DataFrame:
@@ -87,11 +89,11 @@ def runs(found: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
     return good.select("doc", (F.col("pos") + F.col("lo") - REACH).alias("start"), (F.col("pos") + F.col("hi") - REACH).alias("stop")).distinct()
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, stats: bool = False) -> DataFrame:
-    """docs with later repeated runs deleted from text_col; with stats also __runs and __removed_chars."""
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, stats: bool = False, ends: str = ".") -> DataFrame:
+    """docs with later repeated runs deleted from text_col; with stats also __runs and __removed_chars. Long lines are cut after ends."""
     src = located(docs)
     doc = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64("__locator_file").alias("f"), F.col("__locator_row").alias("r")).alias("doc")
-    cut = src.select(doc, units(F.col(f"`{text_col}`")).alias("u"))
+    cut = src.select(doc, units(F.col(f"`{text_col}`"), ends).alias("u"))
     hashes = F.transform("u", lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\n\x0b\f\r"))))
     table = materialise(cut.select("doc", hashes.alias("hs"), F.transform("u", F.length).alias("lens")), "lines-hashes")
     found = seeds(fingerprints(table, min_chars))
@@ -105,7 +107,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = materialise(gone.select(F.col("doc").alias("__line_doc"), kept.alias("__line_kept")), "lines-gone")
     named = src.withColumn("__line_key", doc)
     # always by shuffle: what is deleted grows with the corpus, so a broadcast would only serve small ones
-    joined = named.join(gone.hint("merge"), F.col("__line_key") == F.col("__line_doc"), "left").withColumn("__line_units", F.when(F.col("__line_kept").isNotNull(), units(F.col(f"`{text_col}`"))))
+    joined = named.join(gone.hint("merge"), F.col("__line_key") == F.col("__line_doc"), "left").withColumn("__line_units", F.when(F.col("__line_kept").isNotNull(), units(F.col(f"`{text_col}`"), ends)))
     rest = F.expr("concat_ws('', flatten(transform(concat(__line_kept.kept, array(named_struct('start', __line_kept.at, 'n', greatest(size(__line_units) - __line_kept.at + 1, 0)))), x -> slice(__line_units, x.start, x.n))))")
     text = F.when(F.col("__line_kept").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
     out = joined.withColumn("__line_text", text)
@@ -117,5 +119,5 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def lines_query(docs: DataFrame) -> DataFrame:
     """Per document: its text without later repeated runs, and what was deleted."""
-    found = deduplicate_lines(docs.select("doc_id", "text"), stats=True)
+    found = deduplicate_lines(docs.select("doc_id", "text"), stats=True, ends=SENTENCE_ENDS)
     return found.withColumnsRenamed({"__runs": "n_runs", "__removed_chars": "removed_chars"})

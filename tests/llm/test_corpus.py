@@ -176,6 +176,14 @@ def test_lines_leave_unique_texts_alone(spark):
     assert got[1] == docs[0][1] and got[2] == "Own start two.\nOwn end two.\n" and got[3] == docs[2][1] and got[4].startswith("A.\n") and len(got[4]) < 100
 
 
+def test_query_cuts_after_every_sentence_end(spark):
+    for end in ("! ", "? "):
+        said = "this sentence is said again and again in one text after another" + end
+        docs = [(1, "Own start one" + end + said + "Own end one."), (2, "Own start two" + end + said + "Own end two.")]
+        got = {r.doc_id: r.text for r in lines.lines_query(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+        assert got == {1: docs[0][1], 2: "Own start two" + end + "Own end two."}
+
+
 def test_line_tables(spark):
     df = edges(spark)
     out = lines.deduplicate_lines(df)
