@@ -1,9 +1,8 @@
-"""Line deduplication by winnowing.
+"""Line deduplication by grams of lines.
 
 A text is a run of lines; long lines are cut after full stops as well (in the query after '!' and '?' too). Three neighbouring line hashes make
-a gram; of every two neighbouring grams the least (rightmost on ties) is a fingerprint, and so is every line
-of at least `min_chars`, which spares the grams that hold one. Any repeated run of RUN = 4 lines, or holding
-one such long line, therefore has a fingerprint. Each fingerprint is joined to its earliest occurrence (in its
+a gram and every gram is a fingerprint, and so is every line of at least `min_chars`, which spares the grams
+that hold one. Any repeated run of RUN = 3 lines, or holding one such long line, therefore has a fingerprint. Each fingerprint is joined to its earliest occurrence (in its
 own text: to the one before) and the match is extended both ways line by line. Later runs are deleted if they
 have `min_chars` and either RUN lines or a long one, or if they go on to the end of the extension, however
 short their lines; overlapping ones together. The earliest copy of every line stays, in the order of ids,
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from palimpsest.llm.exact import located
 from palimpsest.llm.shared import materialise
 
-RUN, MIN_CHARS, REACH = 4, 60, 4
+RUN, MIN_CHARS, REACH = 3, 60, 4
 #: What ends a sentence before a space, for the query.
 SENTENCE_ENDS = ".!?"
 _CUT = "\x01"
@@ -39,11 +38,9 @@ def units(text: Column, ends: str = ".") -> Column:
 def fingerprints(table: DataFrame, min_chars: int) -> DataFrame:
     """(h, doc, pos) of the selected grams and long lines, written once; positions count from 1."""
     grams = F.expr("if(size(hs) < 3, cast(array() as array<bigint>), transform(sequence(1, size(hs) - 2), i -> xxhash64(hs[i - 1], hs[i], hs[i + 1])))")
-    # least of one of the two windows that hold gram i, rightmost on ties; what lies outside the text never wins. A gram with a long
-    # line in it isn't needed: the line is a fingerprint itself
-    least = "coalesce(gs[i - 1] <= get(gs, i - 2), true) or coalesce(gs[i - 1] < get(gs, i), true)"
+    # a gram with a long line in it isn't needed: the line is a fingerprint itself
     short = f"lens[i - 1] < {min_chars} and lens[i] < {min_chars} and lens[i + 1] < {min_chars}"
-    chosen = F.expr(f"transform(filter(sequence(1, size(gs)), i -> {short} and ({least})), i -> struct(gs[i - 1] as h, i as pos))")
+    chosen = F.expr(f"transform(filter(sequence(1, size(gs)), i -> {short}), i -> struct(gs[i - 1] as h, i as pos))")
     none = F.expr("cast(array() as array<struct<h:bigint,pos:int>>)")
     long = F.expr(f"transform(filter(sequence(1, size(hs)), i -> lens[i - 1] >= {min_chars}), i -> struct(hs[i - 1] as h, i as pos))")
     picked = table.where(F.size("hs") > 0).select("doc", "hs", "lens", grams.alias("gs"))

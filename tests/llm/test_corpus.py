@@ -176,6 +176,16 @@ def test_lines_leave_unique_texts_alone(spark):
     assert got[1] == docs[0][1] and got[2] == "Own start two.\nOwn end two.\n" and got[3] == docs[2][1] and got[4].startswith("A.\n") and len(got[4]) < 100
 
 
+def test_runs_of_three_short_lines_go(spark):
+    rng = random.Random(2)
+    docs = []
+    for i in range(40):
+        run = "".join(f"shared {i} {k} {rng.random()}\n" for k in range(3))
+        docs += [(2 * i, f"Start {2 * i}.\n{run}End {2 * i}.\n"), (2 * i + 1, f"Start {2 * i + 1}.\n{run}End {2 * i + 1}.\n")]
+    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {i: f"Start {i}.\nEnd {i}.\n" if i % 2 else t for i, t in docs}
+
+
 def test_query_cuts_after_every_sentence_end(spark):
     for end in ("! ", "? "):
         said = "this sentence is said again and again in one text after another" + end
