@@ -1,26 +1,27 @@
-"""Line deduplication by grams of lines.
-
-A text is a run of lines; long lines are cut after full stops as well (in the query after '!' and '?' too). Three neighbouring line hashes make
-a gram and every gram is a fingerprint, and so is every line of at least `min_chars`, which spares the grams
-that hold one. Any repeated run of RUN = 3 lines, or holding one such long line, therefore has a fingerprint. Each fingerprint is joined to its earliest occurrence (in its
-own text: to the one before) and the match is extended both ways line by line. Later runs are deleted if they
-have `min_chars` and either RUN lines or a long one, or if they go on to the end of the extension, however
-short their lines; overlapping ones together. The earliest copy of every line stays, in the order of ids,
-then of rows.
-
-Lines count as equal when equal up to white space at their ends. Null text stays null; empty texts and
-tables pass through. Rows with equal or null ids are separate texts. Other columns pass through untouched.
-Only DataFrame operations run on the executors.
+"""Line deduplication by least runs of lines.
+
+A text is a run of lines; long lines are cut after full stops as well (in the query after '!' and '?' too). A run
+is deleted if it stood before, in an earlier text or further up in its own, and is one line of at least
+`min_chars`, or at least RUN lines with `min_chars` together, or at least MOST lines however short, or holds
+such a run. A least run is one that cannot be shortened at its start or cannot be shortened at its end; every
+such run is made up of least runs, so these are the fingerprints. Equal ones are equal runs: all but the
+earliest are deleted, whatever stands around them, and overlapping ones together. The earliest copy of every
+line stays, in the order of ids, then of rows.
+
+Lines count as equal when equal up to white space at their ends. Their characters are counted with one of white
+space each, so that copies give the same least runs, and a second time with all of it if it is more.
+Null text stays null; empty texts and tables pass through. Rows with equal or null ids are separate texts.
+Other columns pass through untouched. Only DataFrame operations run on the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.llm.exact import located
 from palimpsest.llm.shared import materialise
 
-RUN, MIN_CHARS, REACH = 3, 60, 4
+RUN, MIN_CHARS, MOST = 3, 60, 5
 #: What ends a sentence before a space, for the query.
 SENTENCE_ENDS = ".!?"
 _CUT = "\x01"
@@ -35,55 +36,35 @@ def units(text: Column, ends: str = ".") -> Column:
     return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(_CUT)), F.split(F.coalesce(text, F.lit("")), rf"(?<=\n)|(?<=[{ends}] )")).otherwise(plain)
 
 
+def least_runs(lens: str, min_chars: int) -> Column:
+    """The least runs from each line on and up to each line, given the lines' lengths: numbers 8 * position + lines."""
+    runs = []
+    for way, pos in ((1, "k + 1"), (-1, "k + 2 - n")):
+        at = [f"get({lens}, i - 1{way * k:+d})" for k in range(MOST)]  # null outside the text, where no run ends
+        n = f"case when {at[0]} >= {min_chars} then 1 when {at[1]} >= {min_chars} then 2"
+        for k in range(RUN, MOST):
+            n += f" when {' + '.join(at[:k])} >= {min_chars} then {k}"
+        n += f" when {at[-1]} is not null then {MOST} end"
+        runs.append(f"transform(transform(sequence(1, size({lens})), i -> {n}), (n, k) -> 8 * ({pos}) + n)")
+    return F.expr(f"array_union({runs[0]}, {runs[1]})")
+
+
 def fingerprints(table: DataFrame, min_chars: int) -> DataFrame:
-    """(h, doc, pos) of the selected grams and long lines, written once; positions count from 1."""
-    grams = F.expr("if(size(hs) < 3, cast(array() as array<bigint>), transform(sequence(1, size(hs) - 2), i -> xxhash64(hs[i - 1], hs[i], hs[i + 1])))")
-    # a gram with a long line in it isn't needed: the line is a fingerprint itself
-    short = f"lens[i - 1] < {min_chars} and lens[i] < {min_chars} and lens[i + 1] < {min_chars}"
-    chosen = F.expr(f"transform(filter(sequence(1, size(gs)), i -> {short}), i -> struct(gs[i - 1] as h, i as pos))")
-    none = F.expr("cast(array() as array<struct<h:bigint,pos:int>>)")
-    long = F.expr(f"transform(filter(sequence(1, size(hs)), i -> lens[i - 1] >= {min_chars}), i -> struct(hs[i - 1] as h, i as pos))")
-    picked = table.where(F.size("hs") > 0).select("doc", "hs", "lens", grams.alias("gs"))
-    picked = picked.select("doc", F.explode(F.concat(F.when(F.size("gs") > 0, chosen).otherwise(none), long)).alias("x"))
-    return materialise(picked.select("x.h", "doc", "x.pos"), "lines-prints")
-
-
-def seeds(prints: DataFrame) -> DataFrame:
-    """Every later occurrence with the one it repeats: (doc, pos, source, source_pos)."""
+    """(h, doc, pos, n) of the least runs, written once; positions count from 1."""
+    found = least_runs("lens", min_chars)
+    found = F.when(F.col("lens") == F.col("all_lens"), found).otherwise(F.array_union(found, least_runs("all_lens", min_chars)))
+    picked = table.where(F.size("hs") > 0).select("doc", "hs", F.explode(F.array_compact(found)).alias("x"))
+    picked = picked.select("doc", "hs", F.shiftright("x", 3).alias("pos"), F.col("x").bitwiseAND(7).alias("n"))
+    return materialise(picked.select(F.xxhash64(F.slice("hs", F.col("pos"), F.col("n"))).alias("h"), "doc", "pos", "n"), "lines-prints")
+
+
+def repeated(prints: DataFrame) -> DataFrame:
+    """Every least run that stood before: (doc, start, stop), positions from 1, both ends included."""
     first = prints.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1")
     # written first: a join of two tables lets a hot fingerprint be split, one above an aggregation doesn't
     first = materialise(first.select("h", "first"), "lines-first")
-    met = prints.join(first, "h").select("h", "doc", "pos", F.col("first.doc").alias("source"), F.col("first.pos").alias("source_pos"))
-    met = materialise(met.where("doc <> source or pos <> source_pos"), "lines-seeds")
-    other = met.where("doc <> source").drop("h")
-    own = met.where("doc = source")
-    before = F.lag("pos").over(Window.partitionBy("doc", "h").orderBy("pos"))
-    own = own.select("doc", "pos", "source", F.coalesce(before, F.col("source_pos")).alias("source_pos"))
-    return other.unionByName(own)
-
-
-def runs(found: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
-    """Matches extended both ways: (doc, start, stop) of the runs to delete, positions from 1, both ends included.
-
-    A seed is extended by at most REACH lines a side. A run's fingerprints stand no further apart, so a longer
-    run has further seeds and its pieces overlap; only these few lines travel, never whole texts.
-    """
-    near = f"sequence(-{REACH}, {REACH})"
-    lines = table.select(F.col("doc").alias("of"), "hs", "lens")
-    mine = found.join(lines, found["doc"] == lines["of"]).select(
-        "doc", "pos", "source", "source_pos", F.expr(f"transform({near}, i -> get(hs, pos + i - 1))").alias("mine"), F.expr(f"transform({near}, i -> coalesce(get(lens, pos + i - 1), 0))").alias("lens")
-    )
-    both = mine.join(lines.select("of", "hs"), mine["source"] == lines["of"]).select("doc", "pos", "mine", "lens", F.expr(f"transform({near}, i -> get(hs, source_pos + i - 1))").alias("theirs"))
-    same = F.expr("transform(zip_with(mine, theirs, (x, y) -> coalesce(x = y, false)), (x, i) -> if(x, null, i))")
-    # REACH is the seed's own place; the nearest disagreements around it end the run
-    spans = both.withColumn("odd", F.array_compact(same)).select(
-        "doc", "pos", "lens", F.expr(f"coalesce(array_max(filter(odd, i -> i < {REACH})), -1) + 1").alias("lo"), F.expr(f"coalesce(array_min(filter(odd, i -> i > {REACH})), {2 * REACH + 1}) - 1").alias("hi"), F.array_contains("odd", REACH).alias("bad")
-    )
-    inside = F.expr("slice(lens, lo + 1, hi - lo + 1)")
-    chars = F.aggregate(inside, F.lit(0), lambda a, x: a + x)
-    enough = (chars >= min_chars) & ((F.size(inside) >= RUN) | (F.array_max(inside) >= min_chars))
-    good = spans.where(~F.col("bad") & (enough | (F.col("lo") == 0) | (F.col("hi") == 2 * REACH)))
-    return good.select("doc", (F.col("pos") + F.col("lo") - REACH).alias("start"), (F.col("pos") + F.col("hi") - REACH).alias("stop")).distinct()
+    met = prints.join(first, "h").where("doc <> first.doc or pos <> first.pos")
+    return met.select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1).alias("stop"))
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, stats: bool = False, ends: str = ".") -> DataFrame:
@@ -91,10 +72,10 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     src = located(docs)
     doc = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64("__locator_file").alias("f"), F.col("__locator_row").alias("r")).alias("doc")
     cut = src.select(doc, units(F.col(f"`{text_col}`"), ends).alias("u"))
-    hashes = F.transform("u", lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\n\x0b\f\r"))))
-    table = materialise(cut.select("doc", hashes.alias("hs"), F.transform("u", F.length).alias("lens")), "lines-hashes")
-    found = seeds(fingerprints(table, min_chars))
-    gone = runs(found, table, min_chars).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    cut = cut.select("doc", F.transform("u", F.length).alias("whole"), F.transform("u", lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("u"))
+    table = cut.select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("hs"), F.transform("u", lambda x: F.length(x) + 1).alias("lens"), "whole")
+    table = table.select("doc", "hs", "lens", F.zip_with("lens", "whole", lambda x, y: F.greatest(x, y)).alias("all_lens"))
+    gone = repeated(fingerprints(table, min_chars)).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
     kept = F.expr(
         """aggregate(gone, named_struct('at', 1, 'runs', 0, 'kept', cast(array() as array<struct<start:int,n:int>>)), (a, x) -> named_struct(
             'at', greatest(a.at, x.stop + 1),

@@ -186,6 +186,30 @@ def test_runs_of_three_short_lines_go(spark):
     assert got == {i: f"Start {i}.\nEnd {i}.\n" if i % 2 else t for i, t in docs}
 
 
+def test_partly_repeated_texts(spark):
+    """Exactly the lines go that lie in a run which stood before, whatever the earliest text with a part of it goes on with."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(60):  # the second and third text share a longer run than the first has
+        a, b, c, d, x = (f"{w} of family {i} {rng.random():.6f}\n" for w in "abcdx")
+        docs += [a + b + c + x, f"Start {i}.\n{a}{b}{c}{d}Middle {i}.\n", f"Begin {i}.\n{a}{b}{c}{d}Close {i}.\n"]
+    pool = [f"{'pad ' * rng.choice([0, 1, 4, 6, 15])}{i}\n" for i in range(9)]
+    docs += ["".join(rng.choice(pool) for _ in range(rng.randint(3, 25))) for _ in range(60)]
+    docs = list(enumerate(docs))
+    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    seen = set()
+    for i, t in docs:
+        units, gone = cut(t), set()
+        for k in range(len(units)):
+            for n in range(1, 11):
+                run = tuple(u.strip() for u in units[k : k + n])
+                size = sum(len(u) + 1 for u in run)
+                if len(run) == n and (n >= 5 or n >= 3 and size >= lines.MIN_CHARS or max(map(len, run)) + 1 >= lines.MIN_CHARS):
+                    gone |= set(range(k, k + n)) if run in seen else set()
+                    seen.add(run)
+        assert got[i] == "".join(u for k, u in enumerate(units) if k not in gone)
+
+
 def test_query_cuts_after_every_sentence_end(spark):
     for end in ("! ", "? "):
         said = "this sentence is said again and again in one text after another" + end
