@@ -481,15 +481,18 @@ def cluster_info(spark, sf_dir):
 
 @query(f"select key, value from {_newest('commit_ts < 9000')} where op <> 'DELETE'")
 def store_flush_and_compact(spark, sf_dir):
-    """Batches committed to a store, compacted on the way, read back."""
+    """The whole log committed to a store in batches, compacted on the way and at the end, read back as of the fourth batch."""
     from palimpsest.sources.store import Store
     from palimpsest.sources.workspace import workspace
 
     log = _log(spark, sf_dir)
     store = Store.create(spark, workspace(spark, "store"), "bigint", "double")
+    log = log.withColumn("op_seq", F.col("commit_ts").cast("int"))
     for lo, hi in ((-1, 2999), (2999, 5999), (5999, 7999), (7999, 8999)):
-        store.write(log.where((F.col("commit_ts") > lo) & (F.col("commit_ts") <= hi)).withColumn("op_seq", F.col("commit_ts").cast("int")))
-    return store.snapshot().select("key", "value")
+        fourth = store.write(log.where((F.col("commit_ts") > lo) & (F.col("commit_ts") <= hi)))
+    store.write(log.where("commit_ts > 8999"))
+    store.compact()
+    return store.snapshot(fourth).select("key", "value")
 
 
 @query(f"select key, value from {_newest()} where op <> 'DELETE'")

@@ -221,3 +221,22 @@ def test_commands(store):
     assert run_command(store, "scan user:1 user:2").splitlines()[-1] == "(2 entries)"
     assert run_command(store, "delete user:1:age") == "OK" and run_command(store, "get user:1:age") == "(nil)"
     assert "version" in run_command(store, "info") and "put KEY" in run_command(store, "what") and run_command(store, "exit") is None
+
+
+def test_query_stores_the_whole_log(spark, tmp_path, monkeypatch):
+    from palimpsest.plans import catalogue
+
+    made, create = [], Store.create
+    monkeypatch.setattr(Store, "create", lambda *a, **k: made.append(create(*a, **k)) or made[-1])
+    kinds = ["click", "error", "view"]
+    events = [(i, i * 7 % 501, kinds[i * 5 % 11 % 3], float(i)) for i in range(20000)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+
+    def live(below):
+        last = {k: (e, v) for i, k, e, v in events if i < below}
+        return {(k, v) for k, (e, v) in last.items() if e != "error"}
+
+    got = catalogue.store_flush_and_compact(spark, str(tmp_path)).collect()
+    assert {(r.key, r.value) for r in got} == live(9000) and len(got) == len(live(9000))
+    assert {(r.key, r.value) for r in made[0].snapshot().collect()} == live(20000)
+    assert all(s.level == 1 for s in made[0].manifest().segments)
