@@ -6,11 +6,13 @@ lists keep, per class, its rarest ones: as many as make sure that two sets of at
 similarity meet in a list (for sets no larger than the sketch for certain, else with a chance of missing
 below 1e-9 a pair). Passages that many documents share are common values, so they hardly enter the lists.
 
-Lists never turn into all their pairs. First every member is held against two hubs of each list; the
-links found are contracted to components. What is then left in one list but in different components is
-compared in full: pair by pair in short lists, by blocks of documents and matrix products in long ones, where
-no row a pair is ever made. Pairs pass an estimate from the union of both sketches and are confirmed by exact
-Jaccard on full sets; blocks use full sets from the start.
+Lists never turn into all their pairs. Members of short lists are held against each other, those of a long
+list against two hubs of it; the links found are contracted to components. A long list that still holds
+several components is settled in full, by itself: its members are dealt into bounded blocks, and a task a pair of
+blocks compares full sets by matrix products, so no row a pair is ever made. Other pairs pass an estimate from the
+union of both sketches and are confirmed by exact Jaccard on full sets.
+
+Sets are sets of 64-bit hashes of shingles, so "exact" means up to two shingles of a pair sharing a hash.
 
 Empty texts (null, or without words) have no shingles and link with nothing. A text with fewer words than
 a shingle is one shingle. Rows without an id get a null component and stay. Rows sharing an id are one node.
@@ -26,15 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from palimpsest.llm.shared import is_empty, materialise, small_batches
+from palimpsest.llm.shared import counted, discard, materialise, small_batches
 
 K, INDEX, MISS = 64, 32, 1e-9
-#: Ids of texts to be read again are broadcast up to this count (16 MB); beyond it the texts are shuffled.
-BROADCAST_IDS = 2_000_000
-#: Lists up to this length are compared as pairs; longer ones block by block, a block holding about so much.
+#: Values standing in up to so many classes are compared as pairs; longer lists by hubs, then block by block, a block holding about so much.
 SHORT, BLOCK_DOCS, BLOCK_SHINGLES = 16, 512, 1_000_000
+#: A task contracting links holds so many nodes at a time.
+NODES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -116,7 +118,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def inverted_lists(classes: DataFrame, threshold: float) -> DataFrame:
-    """(v, node, n): per class its rarest retained values, common ones left out as far as the guarantee allows."""
+    """(v, df, node, n): per class its rarest retained values, common ones left out as far as the guarantee allows; df classes retain v."""
     postings = classes.select("node", "n", F.explode(F.slice("sketch", 1, INDEX)).alias("v"))
     shared = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     size = F.least(F.col("n"), F.lit(INDEX))
@@ -127,80 +129,184 @@ def inverted_lists(classes: DataFrame, threshold: float) -> DataFrame:
     # values that stand in one class only come first in the order and meet nobody
     room = size - need + 1 - (size - F.size("vs"))
     lists = ranked.where(room > 0).select("node", "n", F.explode(F.slice("vs", F.lit(1), room.cast("int"))).alias("x"))
-    return materialise(lists.select(F.col("x.v").alias("v"), "node", "n"), "near-lists")
-
-
-def _sizes_fit(threshold: float):
-    return (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
+    return materialise(lists.select(F.col("x.v").alias("v"), F.col("x.df").alias("df"), "node", "n"), "near-lists")
 
 
-def _ordered(a: str, na: str, b: str, nb: str):
-    first = F.col(a) < F.col(b)
-    return [F.least(a, b).alias("a"), F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"), F.greatest(a, b).alias("b"), F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb")]
+def _sizes_fit(na, nb, threshold: float):
+    return (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
 
 
-def hub_pairs(lists: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of members with two hubs of each list, its first and last member in one order of all documents: lists
-    with much the same members have the same hubs."""
+def candidate_pairs(lists: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, na, b, nb): all of each short list, and the members of each long one with its two hubs as b. The hubs are
+    its first and last member in one order of all documents: lists with much the same members have the same hubs."""
     who = F.struct(F.xxhash64("node").alias("h"), "node", "n")
-    hubs = lists.groupBy("v").agg(F.min(who).alias("x"), F.max(who).alias("y"), F.count("*").alias("c")).where("c > 1")
-    # written first, so that their size is known when the join is planned: few hubs are broadcast and the lists stay where they are
+    small = lists.where(F.col("df") <= SHORT).groupBy("v").agg(F.sort_array(F.collect_list(who)).alias("m"))
+    both = "flatten(transform(m, (x, i) -> transform(slice(m, 1, i), y -> struct(x.node as a, x.n as na, y.node as b, y.n as nb))))"
+    small = small.select(F.explode(F.expr(both)).alias("p")).select("p.*")
+    long = lists.where(F.col("df") > SHORT)
+    hubs = long.groupBy("v").agg(F.min(who).alias("x"), F.max(who).alias("y"))
+    # written first: a join of two tables lets a hot list be split, one above an aggregation doesn't
     hubs = materialise(hubs.select("v", F.explode(F.array("x", "y")).alias("hub")), "near-hubs")
-    met = lists.join(hubs, "v").select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).where("node <> hub")
-    return met.select(*_ordered("node", "n", "hub", "hub_n")).where(_sizes_fit(threshold)).distinct()
+    held = long.join(hubs, "v").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
+    fit = _sizes_fit(F.col("na"), F.col("nb"), threshold) & (F.col("a") != F.col("b"))
+    pairs = materialise(small.union(held).where(fit).distinct(), "near-pairs")
+    discard(hubs)
+    return pairs
+
+
+def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, members): the full shingle sets of the named documents, read from their texts again."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "members"])
 
-def open_lists(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """What the hubs left undecided: (v, node, n, part, c) of lists that hold more than one component."""
-    named = lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    undecided = named.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("v", "c")
-    undecided = materialise(undecided, "near-undecided")
-    return materialise(named.join(undecided, "v").select("v", "node", "n", "part", "c"), "near-open")
+    return materialise(texts.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, members binary"), "near-sets")
 
 
-def rest_pairs(left: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
-    """Untested pairs of different components in short lists: at most SHORT / 2 a member and list."""
-    short = left.where(F.col("c") <= SHORT)
-    a = short.select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    b = short.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit(threshold))
-    return pairs.select("a", "na", "b", "nb").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
+    """Links (a, b) among pairs: union-sketch estimate, then exact Jaccard on full sets."""
+    percent = round(100 * threshold)
+    sketch = classes.select("node", "sketch")
+    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    # the least K of the union lie in the sketches; those of them in both sketches are common
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
+    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
+    small = (F.col("na") <= K) & (F.col("nb") <= K)
+    whole = F.size(F.array_intersect("sa", "sb"))
+    exact = 100 * whole >= percent * (F.col("na") + F.col("nb") - whole)
+    likely, some = counted(both.where(F.when(small, exact).otherwise(common >= least_overlap(K, threshold))).select("a", "b", (~small).alias("unsure")), "near-likely", F.col("unsure"))
+    sure, unsure = likely.where("not unsure").select("a", "b"), likely.where("unsure").select("a", "b")
+    if not some:
+        return sure
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                s, t = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                n = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(100 * n >= percent * (len(s) + len(t) - n) and n > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    id_type = pairs.schema["a"].dataType.simpleString()
+    ids = materialise(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    full = full_sets(ids, docs, id_col, text_col, words)
+    # members first: a hub's set then meets the rows that carry its members' sets, and travels once
+    joined = unsure.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
+    checked = joined.select("a", "b", "ma", "mb").mapInArrow(verify, f"a {id_type}, b {id_type}")
+    links = materialise(sure.union(checked), "near-links")
+    discard(likely, ids, full)
+    return links
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of one task, contracted: every node u beside the least node v that they tie it to."""
+    root: dict = {}
+    kind = None
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def out() -> Iterator[pa.RecordBatch]:
+        tied = [(x, r) for x in root if (r := find(x)) != x]
+        if tied:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*tied)], names=["u", "v"])
+        root.clear()
+
+    for b in batches:
+        kind = b.schema.field(0).type
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            root.setdefault(x, x)
+            root.setdefault(y, y)
+            a, c = find(x), find(y)
+            if a != c:
+                root[max(a, c)] = min(a, c)
+        if len(root) > NODES:
+            yield from out()
+    yield from out()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, part) for every node of links (a, b): part is the least node of its component."""
+    tied = trees(links)
+    return tied.union(tied.select("part", "part").distinct())
+
+
+def trees(links: DataFrame) -> DataFrame:
+    """(node, part) for every node of links (a, b) that isn't the least of its component; part is that least node.
+
+    Each round contracts the links inside every task and then ties all that a node is tied to, to the least of them, until
+    every node is tied to one. After the contraction a node has at most one row a task, so no node is hot. The trees that are
+    left are flattened by doubling. Every round is written to the shared folder.
+    """
+    kind = links.schema["a"].dataType.simpleString()
+    e = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    beside = Window.partitionBy("u").orderBy("v")
+    while True:
+        tied = e.select("u", "v").mapInArrow(_stars, f"u {kind}, v {kind}")
+        tied = tied.select("u", "v", F.first("v").over(beside).alias("m"), F.lag("v").over(beside).alias("before"))
+        first = F.col("before").isNull()
+        tied = tied.where(first | ((F.col("v") != F.col("before")) & (F.col("v") != F.col("m"))))
+        done = e
+        e, more = counted(tied.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (~first).alias("met")), "near-ties", F.col("met"))
+        if done.columns != ["u", "v"]:
+            discard(done)
+        if not more:
+            break
+    while True:
+        up = e.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        done = e
+        e, more = counted(e.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("met")), "near-parts", F.col("met"))
+        discard(done)
+        if not more:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("part"))
+
+
+def open_lists(lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
+    """What the hubs left undecided: (v, node, n, part) of long lists that hold more than one component, and whether there are any.
+    Of lists with the same members one is enough."""
+    named = lists.where(F.col("df") > SHORT).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    about = named.groupBy("v").agg(
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("total"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    )
+    undecided, some = counted(about.where("lo <> hi").groupBy("c", "total", "x", "y").agg(F.min("v").alias("v")).select("v"), "near-undecided")
+    return (named.select("v", "node", "n", "part").join(undecided, "v") if some else undecided), some
 
 
 def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
-    """Links between components (a, b) that meet in long lists, found exactly and without a row a pair.
+    """Links between components (a, b) that meet in open lists, found exactly and without a row a pair.
 
-    Lists that share members make a group. A group's members are dealt into bounded blocks, blocks of one
-    component apart from mixed ones; each pair of blocks that can hold a link goes to one task, which gets all
-    intersection sizes by matrix products and returns a spanning forest of the links.
+    A list's members are dealt into bounded blocks, blocks of one component apart from mixed ones; each pair of blocks
+    that can hold a link goes to one task, which gets all intersection sizes by matrix products and returns a spanning
+    forest of the links. Work grows with the square of the blocks that one list fills.
     """
-    long = left.where(F.col("c") > SHORT)
-    if is_empty(long):
-        return left.select(F.col("part").alias("a"), F.col("part").alias("b")).limit(0)
-    spokes = long.join(long.groupBy("v").agg(F.min("node").alias("m")), "v").select(F.col("node").alias("a"), F.col("m").alias("b")).where("a <> b")
-    group = components(spokes)
-    members = materialise(long.select("node", "n", "part").distinct().join(group.withColumnRenamed("part", "grp"), "node"), "near-members")
+    members = materialise(left, "near-members")
 
     def blocks(count, total):
         return F.greatest(F.ceil(count / BLOCK_DOCS), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
-    parts = members.groupBy("grp", "part").agg(F.count("*").alias("pc"), F.sum("n").alias("pn"))
+    parts = members.groupBy("v", "part").agg(F.count("*").alias("pc"), F.sum("n").alias("pn"))
     parts = parts.withColumn("pure", (F.col("pc") * 2 >= BLOCK_DOCS) | (F.col("pn") * 2 >= BLOCK_SHINGLES))
-    mixed = parts.where("not pure").groupBy("grp").agg(blocks(F.sum("pc"), F.sum("pn")).alias("mb"))
-    dealt = parts.join(mixed, "grp", "left").select("grp", "part", "pure", F.when(F.col("pure"), blocks(F.col("pc"), F.col("pn"))).otherwise(F.col("mb")).alias("nb"))
+    mixed = parts.where("not pure").groupBy("v").agg(blocks(F.sum("pc"), F.sum("pn")).alias("mb"))
+    dealt = parts.join(mixed, "v", "left").select("v", "part", "pure", F.when(F.col("pure"), blocks(F.col("pc"), F.col("pn"))).otherwise(F.col("mb")).alias("nb"))
+    dealt = materialise(dealt, "near-dealt")
     block = F.when(F.col("pure"), F.struct(F.col("part").alias("of"), F.pmod(F.xxhash64("node"), "nb").cast("int").alias("no"))).otherwise(
         F.struct(F.lit(None).cast(members.schema["part"].dataType).alias("of"), F.pmod(F.xxhash64("part"), "nb").cast("int").alias("no"))
     )
-    placed = members.join(dealt, ["grp", "part"]).select("grp", "node", "part", block.alias("block"))
-    placed = materialise(placed, "near-placed")
-    all_blocks = materialise(placed.select("grp", "block").distinct(), "near-blocks")
-    x, y = all_blocks.select("grp", F.col("block").alias("x")), all_blocks.select("grp", F.col("block").alias("y"))
-    meet = x.join(y, "grp").where((F.col("x") <= F.col("y")) & (F.col("x.of").isNull() | F.col("y.of").isNull() | (F.col("x.of") != F.col("y.of"))))
-    meet = materialise(meet.withColumn("pair", F.monotonically_increasing_id()), "near-meet")
-    sides = meet.select("grp", "pair", F.col("x").alias("block"), F.lit(0).alias("side")).union(meet.where("x <> y").select("grp", "pair", F.col("y").alias("block"), F.lit(1).alias("side")))
+    placed = materialise(members.join(dealt, ["v", "part"]).select("v", "node", "part", block.alias("block")), "near-placed")
+    held = materialise(placed.groupBy("v").agg(F.sort_array(F.collect_set("block")).alias("bs")), "near-blocks")
     sets = full_sets(placed.select(F.col("node").alias("id")).distinct(), docs, id_col, text_col, words).withColumnRenamed("id", "node")
-    filled = placed.join(sets, "node")
-    shipped = filled.join(sides, (filled["grp"] == sides["grp"]) & filled["block"].eqNullSafe(sides["block"])).select("pair", "side", "part", "members")
+    meets = """transform(filter(transform(bs, (y, j) -> struct(cast(j + 1 as bigint) as j, y as y)), z ->
+        block.of is null or z.y.of is null or block.of <> z.y.of), z -> z.j)"""
+    sent = placed.join(held, "v").select("v", "node", "part", F.array_position("bs", F.col("block")).alias("i"), F.explode(F.expr(meets)).alias("j"))
+    sent = sent.select(F.struct("v", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).alias("pair"), (F.col("i") > F.col("j")).cast("int").alias("side"), "part", "node")
+    sent = sent.join(sets, "node").select(F.xxhash64("pair").alias("key"), "pair", "side", "part", "members")
     percent, part_type = round(100 * threshold), members.schema["part"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +315,10 @@ def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
         def rows():
             nonlocal kind
             for b in batches:
-                kind = b.schema.field(2).type
-                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
+                kind = b.schema.field(3).type
+                yield from zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
 
-        for _, some in itertools.groupby(rows(), key=lambda r: r[0]):
+        for _, some in itertools.groupby(rows(), key=lambda r: (r[0]["v"], r[0]["lo"], r[0]["hi"])):
             sides: tuple[list, list] = ([], [])
             for _, side, part, blob in some:
                 sides[side].append((part, np.frombuffer(blob, np.int64)))
@@ -220,8 +326,10 @@ def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*edges)], names=["a", "b"])
 
-    sent = shipped.repartition("pair").sortWithinPartitions("pair", "side")
-    return materialise(sent.mapInArrow(run, f"a {part_type}, b {part_type}"), "near-block-links")
+    dealt_out = sent.repartition("key").sortWithinPartitions("key", "pair", "side")
+    found = materialise(dealt_out.mapInArrow(run, f"a {part_type}, b {part_type}"), "near-block-links")
+    discard(members, dealt, placed, held, sets)
+    return found
 
 
 def _forest(one: list, two: list, percent: int) -> list[tuple]:
@@ -262,75 +370,6 @@ def _forest(one: list, two: list, percent: int) -> list[tuple]:
     return edges
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, members): the full shingle sets of the named documents, read from their texts again."""
-    ids = materialise(ids, "near-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "members"])
-
-    return materialise(texts.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, members binary"), "near-sets")
-
-
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
-    """Links (a, b) among pairs: union-sketch estimate, then exact Jaccard on full sets."""
-    percent = round(100 * threshold)
-    sketch = classes.select("node", "sketch")
-    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    # the least K of the union lie in the sketches; those of them in both sketches are common
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    small = (F.col("na") <= K) & (F.col("nb") <= K)
-    whole = F.size(F.array_intersect("sa", "sb"))
-    exact = 100 * whole >= percent * (F.col("na") + F.col("nb") - whole)
-    likely = materialise(both.where(F.when(small, exact).otherwise(common >= least_overlap(K, threshold))).select("a", "b", (~small).alias("unsure")), "near-likely")
-    sure, unsure = likely.where("not unsure").select("a", "b"), likely.where("unsure").select("a", "b")
-    if is_empty(unsure):
-        return sure
-    ids = unsure.select(F.col("a").alias("id")).union(unsure.select(F.col("b").alias("id"))).distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                n = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * n >= percent * (len(s) + len(t) - n) and n > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    id_type = pairs.schema["a"].dataType.simpleString()
-    full = full_sets(ids, docs, id_col, text_col, words)
-    joined = unsure.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-    checked = joined.select("a", "b", "ma", "mb").mapInArrow(verify, f"a {id_type}, b {id_type}")
-    return materialise(sure.union(checked).distinct(), "near-links")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, part) for every node of links (a, b): part is the least node of its component.
-
-    Alternating star contractions; each round is written to the shared folder. The driver sees a count and a
-    checksum a round.
-    """
-    e = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
-    seen = None
-    while True:
-        count = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        mark = (count.n, count.h)
-        if mark == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("part")).union(e.select(F.col("v"), F.col("v")).distinct())
-        seen = mark
-        # minima are written before they are joined, so that the rows of a hot node can be split (or few minima broadcast)
-        both = e.union(e.select("v", "u"))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "near-least")
-        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "near-large")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "near-least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = materialise(small.distinct(), "near-edges")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """id, n_shingles, component_id (least id reachable over links) and kept, a row per row of docs."""
     small_batches(docs.sparkSession)
@@ -339,19 +378,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = named.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("digest", F.col("x.id").alias("node"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch"))
     classes = materialise(grouped, "near-classes")
     lists = inverted_lists(classes, threshold)
-    pairs = materialise(hub_pairs(lists, threshold), "near-pairs")
+    pairs = candidate_pairs(lists, threshold)
     links = confirm(pairs, classes, docs, id_col, text_col, words, threshold)
-    parts = materialise(components(links), "near-parts")
-    left = open_lists(lists, parts)
-    if not is_empty(left):
-        rest = materialise(rest_pairs(left, pairs, threshold), "near-rest")
-        more = block_links(left, docs, id_col, text_col, words, threshold)
-        if not is_empty(rest):
-            more = more.union(confirm(rest, classes, docs, id_col, text_col, words, threshold))
-        if not is_empty(more):
-            parts = materialise(components(links.union(more)), "near-parts")
+    parts = trees(links)
+    left, some = open_lists(lists, parts)
+    if some:
+        # what the blocks tie together are components already, so those are contracted further
+        more, known = block_links(left, docs, id_col, text_col, words, threshold), parts
+        parts = trees(more.union(known))
+        discard(more, known)
+    discard(lists, pairs, links)
     of_class = classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))
     of_class = materialise(of_class, "near-component")
+    discard(classes, parts)
     out = signed.select("id", "n", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("part", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))

@@ -1,14 +1,15 @@
-"""Helpers shared by the training-data operators: work tables in the cluster's shared folder."""
+"""Helpers shared by the training-data operators: work tables in the cluster's shared folder, columns made in Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from palimpsest.sources.workspace import workspace
 
+
 def write_table(df: DataFrame, tag: str, codec: str = "zstd") -> str:
     """Write df once to the shared folder; its path."""
     path = workspace(df.sparkSession, tag)
@@ -21,8 +22,26 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag, codec))
 
 
+def counted(df: DataFrame, tag: str, which: Column | None = None) -> tuple[DataFrame, int]:
+    """materialise(df) and the number of its rows (of those where `which` holds), counted as they are written.
+
+    A task that runs twice may count its rows twice, so the number is only good for telling none from some.
+    """
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")), tag)
+    return out, seen.get.get("n") or 0
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables that no later plan reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
-    """A column name like name that df doesn't have."""
+    """A column name like name that df doesn't have, in whatever case."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name += "_"
@@ -34,7 +53,10 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, since texts may be long; a bound that the session already has is kept."""
+    """Bound Arrow batches by bytes, since texts may be long; a bound that the session already has is kept.
+
+    The setting stays, for plans read it when they run.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -42,11 +64,14 @@ def small_batches(spark: SparkSession) -> None:
 def append_columns(df: DataFrame, source: str, made: Callable[[list], list[pa.Array]], columns: list[tuple[str, str]], drop_source: bool = False) -> DataFrame:
     """df with columns (name, Spark type) that made() gives for each Arrow batch of the source column's values.
 
-    The other columns pass through untouched; those already called like a new one are replaced.
+    The other columns pass through untouched; those already called like a new one, as the session compares names, are replaced.
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
+    fold = str if spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
     names = [n for n, _ in columns]
-    kept = [f for f in df.schema.fields if f.name not in names and not (drop_source and f.name == source)]
+    gone = {fold(n) for n in names} | ({fold(source)} if drop_source else set())
+    kept = [f for f in df.schema.fields if fold(f.name) not in gone]
     src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias(fresh(df, "__source")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -273,7 +273,6 @@ def copies(seed, n):
 def test_components_equal_brute_force(spark, monkeypatch, short):
     monkeypatch.setattr(near, "SHORT", short)
     monkeypatch.setattr(near, "BLOCK_DOCS", 8)
-    monkeypatch.setattr(near, "BROADCAST_IDS", 2_000_000 if short == 2 else 0)
     rows = copies(short, 30)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.components_query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute_components(rows, 4)
