@@ -7,8 +7,8 @@ similarity meet in a list (for sets no larger than the sketch for certain, else
 below 1e-9 a pair). Passages that many documents share are common values, so they hardly enter the lists.
 
 Lists never turn into all their pairs. Members of short lists are held against each other, those of a long
-list against two hubs of it; the links found are contracted to components. A long list that still holds
-several components is settled in full, by itself: its members are dealt into bounded blocks, and a task a pair of
+list against two hubs of it; the links found are contracted to components. Long lists that still hold
+several components are settled in full, list by list: members are dealt into bounded blocks, and a task a pair of
 blocks compares full sets by matrix products, so no row a pair is ever made. Other pairs pass an estimate from the
 union of both sketches and are confirmed by exact Jaccard on full sets.
 
@@ -269,14 +269,13 @@ def trees(links: DataFrame) -> DataFrame:
 
 def open_lists(lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
     """What the hubs left undecided: (v, node, n, part) of long lists that hold more than one component, and whether there are any.
-    Of lists with the same members one is enough."""
+    Lists that have both hubs in common hold much the same members and are taken together; a document has INDEX lists at
+    most, so lists never join up beyond that."""
     named = lists.where(F.col("df") > SHORT).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    about = named.groupBy("v").agg(
-        F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("total"),
-        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-    )
-    undecided, some = counted(about.where("lo <> hi").groupBy("c", "total", "x", "y").agg(F.min("v").alias("v")).select("v"), "near-undecided")
-    return (named.select("v", "node", "n", "part").join(undecided, "v") if some else undecided), some
+    order = F.xxhash64("node")
+    about = named.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min(order).alias("x"), F.max(order).alias("y"))
+    undecided, some = counted(about.where("lo <> hi").select("v", F.xxhash64("x", "y").alias("g")), "near-undecided")
+    return named.join(undecided, "v").select(F.col("g").alias("v"), "node", "n", "part").distinct(), some
 
 
 def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
