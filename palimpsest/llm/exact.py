@@ -2,13 +2,15 @@
 
 Each row's normalised text gives a digest; digests, stable identifiers and content locators (file and row)
 are written once and streamed into a keyed aggregation whose RocksDB state never expires. For every digest
-the state holds the count and the row to keep. A digest seen more than once is a hit: the full normalised
-bytes of all its rows are compared (least against greatest, combined before the shuffle), and if a digest ever
-stood for different bytes, its rows are grouped by the bytes instead.
+the state holds the count and the row to keep with its locator. A digest seen more than once is a hit: once the
+stream has drained, each row of a hit is read again and its full normalised bytes are compared with those of
+the row to keep, both found by locator. If a digest ever stood for different bytes, its rows are grouped by the
+bytes instead.
 
 Equal means identical after deleting space, tab, line feed, vertical tab, form feed and carriage return. Null
 counts as empty, and all empty texts are equal. The row with the most code points stays, then the smallest id
-(null last), then the first by locator, so of repeated rows exactly one stays. Empty tables give no rows.
+(null last), then the first by locator, so of repeated rows exactly one stays. Texts of any length are compared
+whole. Empty tables give no rows. Other columns, whatever their names, pass through untouched.
 Only DataFrame operations run on the executors.
 """
 
@@ -19,7 +21,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.shared import is_empty, materialise, write_table
+from palimpsest.llm.shared import counted, discard, fresh, materialise, write_table
 from palimpsest.sources.workspace import workspace
 
 #: Disk-backed state; change logs in place of whole snapshots, and no files preallocated (4 MB a partition otherwise).
@@ -29,27 +31,27 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
-#: Digests of hits are broadcast up to this count (about 60 MB); beyond it texts and digests are shuffled.
-BROADCAST_HITS = 500_000
+#: Bytes of digests, identifiers and locators a micro-batch (some 600 million rows).
+BATCH = 64 << 30
 
 
 def normalise(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with __locator_file and __locator_row, which name each row for good; a table that isn't read from files is written first."""
-    if {"__locator_file", "__locator_row"} <= set(docs.columns):
-        return docs
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, file and row, that name each row for good, and their names; a table that isn't read from
+    files is written first."""
+    file, row = fresh(docs, "__locator_file"), fresh(docs, "__locator_row")
 
     def name(df: DataFrame) -> DataFrame:
         at = df.metadataColumn("_metadata")
-        return df.select("*", at["file_path"].alias("__locator_file"), at["row_index"].alias("__locator_row"))
+        return df.select("*", at["file_path"].alias(file), at["row_index"].alias(row))
 
     try:
-        return name(docs)
+        return name(docs), file, row
     except AnalysisException:
-        return name(materialise(docs, "located"))
+        return name(materialise(docs, "located")), file, row
 
 
 def _candidate(id_col: str = "id") -> Column:
@@ -77,44 +79,47 @@ def _through_state(prints: DataFrame, source: str, digest: Column, bytes_per_bat
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_of: Callable[[Column], Column] = lambda sha: sha, bytes_per_batch: int | None = 2**40) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_of: Callable[[Column], Column] = lambda sha: sha, bytes_per_batch: int | None = BATCH) -> DataFrame:
     """One row per row of docs: id, file, row (its locator), text_sha256, keep_id, group_size and kept.
 
     digest_of maps the hex SHA-256 to the state's key and may be weak: hits are settled on full bytes.
     """
-    src = located(docs)
-    norm = normalise(F.col(f"`{text_col}`"))
-    named = src.select(F.col(f"`{id_col}`").alias("id"), F.col("__locator_file").alias("file"), F.col("__locator_row").alias("row"), norm.alias("norm"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("n_points"))
-    named = named.withColumn("text_sha256", F.sha2("norm", 256))
-    source = write_table(named.drop("norm"), "exact-prints")
-    prints = docs.sparkSession.read.schema(named.drop("norm").schema).parquet(source)
-    found = _through_state(prints, source, digest_of(F.col("text_sha256")), bytes_per_batch)
+    return _groups(*located(docs), id_col, text_col, digest_of, bytes_per_batch)
 
-    hits = found.where("group_size > 1").select("digest")
-    few = hits.count() <= BROADCAST_HITS
-    texts = named.select(digest_of(F.col("text_sha256")).alias("digest"), "id", "file", "row", "n_points", "text_sha256", "norm")
-    held = texts.select("digest", "norm", F.pmod(F.xxhash64("file", "row"), F.lit(64)).alias("salt")).join(F.broadcast(hits) if few else hits, "digest")
-    # with the rows dealt anew after it, a join over many hits may split a hot digest; least and greatest combine before they meet
-    spread = (held if few else held.repartition("digest", "salt")).groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-    mixed = materialise(spread.where("least <> most").select("digest"), "exact-mixed")
-
-    rows = prints.withColumn("digest", digest_of(F.col("text_sha256")))
-    if is_empty(mixed):
-        out = rows.join(found, "digest")
-    else:
-        split = texts.join(mixed, "digest")
-        apart = split.groupBy("digest", "norm").agg(F.min(_candidate()).alias("keep"), F.count("*").alias("group_size"))
-        apart = split.join(apart, ["digest", "norm"]).drop("norm")
-        out = rows.join(mixed, "digest", "left_anti").join(found, "digest").unionByName(apart)
-    kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
-    return out.select("id", "file", "row", "text_sha256", F.col("keep.id").alias("keep_id"), "group_size", kept.alias("kept"))
 
+def _groups(src: DataFrame, file: str, row: str, id_col: str, text_col: str, digest_of: Callable[[Column], Column], bytes_per_batch: int | None) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    at = [F.col(file).alias("file"), F.col(row).alias("row")]
+    named = src.select(F.col(f"`{id_col}`").alias("id"), *at, F.sha2(normalise(text), 256).alias("text_sha256"), F.length(F.coalesce(text, F.lit(""))).alias("n_points"))
+    source = write_table(named, "exact-prints")
+    prints = src.sparkSession.read.schema(named.schema).parquet(source)
+    found = _through_state(prints, source, digest_of(F.col("text_sha256")), bytes_per_batch)
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_per_batch: int | None = 2**40) -> DataFrame:
+    kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+    rows = prints.withColumn("digest", digest_of(F.col("text_sha256"))).join(found, "digest").withColumn("kept", kept)
+    hits, some = counted(rows.where("group_size > 1").select(F.xxhash64("file").alias("f"), "file", "row", "digest", "kept"), "exact-hits")
+    mixed, split = None, 0
+    if some:
+        norm = normalise(text).alias("norm")
+        read_again = src.select(F.xxhash64(F.col(file)).alias("f"), *at, norm).join(hits, ["f", "file", "row"])
+        texts = materialise(read_again.select("digest", "kept", "norm"), "exact-texts")
+        held = texts.where("kept").select("digest", F.col("norm").alias("kept_norm"))
+        mixed, split = counted(texts.where("not kept").join(held, "digest").where("norm <> kept_norm").select("digest").distinct(), "exact-mixed")
+        discard(hits, texts)
+    if split:
+        bytes_of = src.select(*at, normalise(text).alias("norm"))
+        apart = rows.join(mixed, "digest").drop("keep", "group_size", "kept").join(bytes_of, ["file", "row"])
+        best = apart.groupBy("digest", "norm").agg(F.min(_candidate()).alias("keep"), F.count("*").alias("group_size"))
+        apart = apart.join(best, ["digest", "norm"]).drop("norm").withColumn("kept", kept)
+        rows = rows.join(mixed, "digest", "left_anti").unionByName(apart)
+    return rows.select("id", "file", "row", "text_sha256", F.col("keep.id").alias("keep_id"), "group_size", "kept")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_per_batch: int | None = BATCH) -> DataFrame:
     """docs without the rows that are copies of one that stays; same columns."""
-    src = located(docs)
-    keep = groups(src, id_col, text_col, bytes_per_batch=bytes_per_batch).where("kept").select(F.col("file").alias("__locator_file"), F.col("row").alias("__locator_row"))
-    return src.join(keep, ["__locator_file", "__locator_row"], "left_semi").drop("__locator_file", "__locator_row")
+    src, file, row = located(docs)
+    keep = _groups(src, file, row, id_col, text_col, lambda sha: sha, bytes_per_batch).where("kept").select(F.col("file").alias(file), F.col("row").alias(row))
+    return src.join(keep, [file, row], "left_semi").drop(file, row)
 
 
 def groups_query(docs: DataFrame) -> DataFrame:

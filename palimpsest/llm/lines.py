@@ -1,17 +1,21 @@
-"""Line deduplication by least runs of lines.
-
-A text is a run of lines; long lines are cut after full stops as well (in the query after '!' and '?' too). A run
-is deleted if it stood before, in an earlier text or further up in its own, and is one line of at least
-`min_chars`, or at least RUN lines with `min_chars` together, or at least MOST lines however short, or holds
-such a run. A least run is one that cannot be shortened at its start or cannot be shortened at its end; every
-such run is made up of least runs, so these are the fingerprints. Equal ones are equal runs: all but the
-earliest are deleted, whatever stands around them, and overlapping ones together. The earliest copy of every
-line stays, in the order of ids, then of rows.
-
-Lines count as equal when equal up to white space at their ends. Their characters are counted with one of white
-space each, so that copies give the same least runs, and a second time with all of it if it is more.
-Null text stays null; empty texts and tables pass through. Rows with equal or null ids are separate texts.
-Other columns pass through untouched. Only DataFrame operations run on the executors.
+"""Line deduplication by winnowing over line hashes.
+
+A text is a run of lines; long lines are cut after full stops as well (in the query after '!' and '?' too). Every line
+is hashed. The gram of a line is the least run from it on with a third of `min_chars` characters, and a window the least
+run with the other two thirds. The least gram hash of each window (the first of equal ones) is a fingerprint. Any run of
+`min_chars` holds a whole window of grams, so copies of it have a fingerprint in common, whatever stands around them.
+
+Fingerprints that stand twice are joined, and each is extended both ways to all least runs of `min_chars` characters
+around it: those that cannot be shortened at their start, and those that cannot be shortened at their end. These are joined
+in turn, so an extension may meet any earlier text and not only the earliest one with the fingerprint. A run that stood
+before, in an earlier text or further up in its own, is deleted, overlapping ones together. As longer runs are made up of
+least ones, just the lines go that lie in a run of `min_chars` that stood before; the earliest copy of every line
+stays, in the order of ids, then of rows.
+
+Lines count as equal when equal up to white space at their ends; their characters are counted with one of white space each.
+Null text stays null; empty texts and tables pass through; texts are read whole, and a line may be of any length.
+Rows with equal or null ids are separate texts. Other columns, whatever their names, pass through untouched.
+Only DataFrame operations run on the executors.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.llm.exact import located
-from palimpsest.llm.shared import materialise
+from palimpsest.llm.shared import discard, fresh, materialise
 
-RUN, MIN_CHARS, MOST = 3, 60, 5
+MIN_CHARS = 60
 #: What ends a sentence before a space, for the query.
 SENTENCE_ENDS = ".!?"
 _CUT = "\x01"
@@ -36,62 +40,87 @@ def units(text: Column, ends: str = ".") -> Column:
     return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(_CUT)), F.split(F.coalesce(text, F.lit("")), rf"(?<=\n)|(?<=[{ends}] )")).otherwise(plain)
 
 
-def least_runs(lens: str, min_chars: int) -> Column:
-    """The least runs from each line on and up to each line, given the lines' lengths: numbers 8 * position + lines."""
-    runs = []
-    for way, pos in ((1, "k + 1"), (-1, "k + 2 - n")):
-        at = [f"get({lens}, i - 1{way * k:+d})" for k in range(MOST)]  # null outside the text, where no run ends
-        n = f"case when {at[0]} >= {min_chars} then 1 when {at[1]} >= {min_chars} then 2"
-        for k in range(RUN, MOST):
-            n += f" when {' + '.join(at[:k])} >= {min_chars} then {k}"
-        n += f" when {at[-1]} is not null then {MOST} end"
-        runs.append(f"transform(transform(sequence(1, size({lens})), i -> {n}), (n, k) -> 8 * ({pos}) + n)")
-    return F.expr(f"array_union({runs[0]}, {runs[1]})")
-
-
-def fingerprints(table: DataFrame, min_chars: int) -> DataFrame:
-    """(h, doc, pos, n) of the least runs, written once; positions count from 1."""
-    found = least_runs("lens", min_chars)
-    found = F.when(F.col("lens") == F.col("all_lens"), found).otherwise(F.array_union(found, least_runs("all_lens", min_chars)))
-    picked = table.where(F.size("hs") > 0).select("doc", "hs", F.explode(F.array_compact(found)).alias("x"))
-    picked = picked.select("doc", "hs", F.shiftright("x", 3).alias("pos"), F.col("x").bitwiseAND(7).alias("n"))
-    return materialise(picked.select(F.xxhash64(F.slice("hs", F.col("pos"), F.col("n"))).alias("h"), "doc", "pos", "n"), "lines-prints")
-
-
-def repeated(prints: DataFrame) -> DataFrame:
-    """Every least run that stood before: (doc, start, stop), positions from 1, both ends included."""
-    first = prints.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    # written first: a join of two tables lets a hot fingerprint be split, one above an aggregation doesn't
-    first = materialise(first.select("h", "first"), "lines-first")
-    met = prints.join(first, "h").where("doc <> first.doc or pos <> first.pos")
-    return met.select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1).alias("stop"))
+def _least(chars: int, at: str, way: int = 1) -> str:
+    """Lines of the least run of that many characters from line `at` on (way 1) or up to it (-1); null where the text ends before. A
+    line has one character at least."""
+    sums = [" + ".join(f"get(lens, {at} - 1 {way * j:+d})" for j in range(k)) for k in range(1, 5)]
+    quick = " ".join(f"when {s} >= {chars} then {k}" for k, s in enumerate(sums, 1))
+    rest = f"slice(lens, {at}, {chars})" if way > 0 else f"reverse(slice(lens, greatest(1, {at} - {chars - 1}), least({at}, {chars})))"
+    return f"""case {quick} else aggregate({rest}, struct(0 as k, 0 as s),
+        (a, x) -> if(a.s >= {chars}, a, struct(a.k + 1 as k, a.s + x as s)), a -> if(a.s >= {chars}, a.k, null)) end"""
+
+
+def line_table(docs: DataFrame, doc: Column, text_col: str, ends: str, min_chars: int) -> DataFrame:
+    """Per text its key, line hashes and lengths, and the fingerprints (hash, line from 1 on, lines of the gram)."""
+    gram = max(1, min_chars // 3)
+    cut = docs.select(doc.alias("doc"), units(F.col(f"`{text_col}`"), ends).alias("u"))
+    # what follows the last line's end is no line
+    cut = cut.select("doc", F.expr("if(element_at(u, -1) = '', slice(u, 1, size(u) - 1), u)").alias("u")).where(F.size("u") > 0)
+    cut = cut.select("doc", F.transform("u", lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("u"))
+    table = cut.select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("hs"), F.transform("u", lambda x: F.length(x) + 1).alias("lens"))
+    table = table.withColumn("ks", F.expr(f"array_compact(transform(sequence(1, size(lens)), i -> {_least(gram, 'i')}))"))
+    table = table.withColumn("gs", F.expr("transform(ks, (k, i) -> xxhash64(slice(hs, i + 1, k)))"))
+    # windows hold lines with a gram only; a text without a whole window is shorter than min_chars
+    window = _least(max(1, min_chars - gram), "i")
+    picks = f"""array_distinct(filter(transform(transform(sequence(1, size(lens)), i -> struct(i as i, {window} as w)), x ->
+        if(x.w is not null and x.i + x.w - 1 <= size(gs), int(x.i - 1 + array_position(slice(gs, x.i, x.w), array_min(slice(gs, x.i, x.w)))), null)), x -> x is not null))"""
+    table = table.withColumn("at", F.expr(picks))
+    return table.select("doc", "hs", "lens", F.expr("transform(at, i -> struct(gs[i - 1] as h, i as i, ks[i - 1] as k))").alias("prints"))
+
+
+def met_again(rows: DataFrame, key: str, place: Column, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (written) whose key stands twice, with `later`, whether another stands before; and a table to discard after use."""
+    first = rows.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+    # written first: a join of two tables lets a hot key be split, one above an aggregation doesn't
+    first = materialise(first.select(key, "first"), tag)
+    return rows.join(first, key).withColumn("later", place != F.col("first")).drop("first"), first
+
+
+def extended(table: DataFrame, min_chars: int) -> DataFrame:
+    """(key, doc, start, n) of the least runs of min_chars around the fingerprints that stand twice, written."""
+    prints = table.select("doc", F.explode("prints").alias("p")).select("doc", "p.*")
+    hits, shared = met_again(prints, "h", F.struct("doc", "i"), "lines-shared")
+    met = table.select("doc", "hs", "lens").join(hits.groupBy("doc").agg(F.collect_list(F.struct("i", "k")).alias("hits")), "doc")
+    # runs around (i, k) that begin at p <= i and cannot be shorter, or end at q >= i + k - 1
+    left, right = _least(min_chars, "(x.i - 1)", -1), _least(min_chars, "(x.i + x.k)")
+    near = f"transform(sequence(x.i - coalesce({left}, x.i) + 1, x.i), p -> struct(p as start, {_least(min_chars, 'p')} as n))"
+    to = f"transform(sequence(x.i + x.k - 1, x.i + x.k - 2 + coalesce({right}, size(lens) - x.i - x.k + 2)), q -> struct(q as q, {_least(min_chars, 'q', -1)} as n))"
+    runs = f"concat({near}, transform({to}, y -> struct(y.q - y.n + 1 as start, y.n as n)))"
+    # one number a run, so that those that several fingerprints extend to are left once
+    held = f"transform(filter({runs}, r -> r.n is not null and r.start <= x.i and r.start + r.n >= x.i + x.k), r -> r.start * {min_chars + 1}L + r.n)"
+    met = met.withColumn("runs", F.expr(f"array_distinct(flatten(transform(hits, x -> {held})))"))
+    keyed = f"transform(transform(runs, r -> struct(int(r div {min_chars + 1}) as start, int(r % {min_chars + 1}) as n)), r -> struct(xxhash64(slice(hs, r.start, r.n)) as key, r.start as start, r.n as n))"
+    found = materialise(met.select("doc", F.explode(F.expr(keyed)).alias("r")).select("r.key", "doc", "r.start", "r.n"), "lines-runs")
+    discard(shared)
+    return found
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, stats: bool = False, ends: str = ".") -> DataFrame:
     """docs with later repeated runs deleted from text_col; with stats also __runs and __removed_chars. Long lines are cut after ends."""
-    src = located(docs)
-    doc = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64("__locator_file").alias("f"), F.col("__locator_row").alias("r")).alias("doc")
-    cut = src.select(doc, units(F.col(f"`{text_col}`"), ends).alias("u"))
-    cut = cut.select("doc", F.transform("u", F.length).alias("whole"), F.transform("u", lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("u"))
-    table = cut.select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("hs"), F.transform("u", lambda x: F.length(x) + 1).alias("lens"), "whole")
-    table = table.select("doc", "hs", "lens", F.zip_with("lens", "whole", lambda x, y: F.greatest(x, y)).alias("all_lens"))
-    gone = repeated(fingerprints(table, min_chars)).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    src, file, row = located(docs)
+    doc = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(file)).alias("f"), F.col(row).alias("r"))
+    table = materialise(line_table(src, doc, text_col, ends, min_chars), "lines-table")
+    found = extended(table, min_chars)
+    met, first = met_again(found, "key", F.struct("doc", "start"), "lines-first")
+    later = met.where("later").select("doc", "start", (F.col("start") + F.col("n") - 1).alias("stop"))
+    gone = later.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
     kept = F.expr(
         """aggregate(gone, named_struct('at', 1, 'runs', 0, 'kept', cast(array() as array<struct<start:int,n:int>>)), (a, x) -> named_struct(
             'at', greatest(a.at, x.stop + 1),
             'runs', a.runs + if(a.runs = 0 or x.start > a.at, 1, 0),
             'kept', if(x.start > a.at, concat(a.kept, array(named_struct('start', a.at, 'n', x.start - a.at))), a.kept)))"""
     )
-    gone = materialise(gone.select(F.col("doc").alias("__line_doc"), kept.alias("__line_kept")), "lines-gone")
-    named = src.withColumn("__line_key", doc)
+    key, held, cut, text = (fresh(src, n) for n in ("__line_doc", "__line_kept", "__line_units", "__line_text"))
+    gone = materialise(gone.select(F.col("doc").alias(key), kept.alias(held)), "lines-gone")
+    discard(table, found, first)
     # always by shuffle: what is deleted grows with the corpus, so a broadcast would only serve small ones
-    joined = named.join(gone.hint("merge"), F.col("__line_key") == F.col("__line_doc"), "left").withColumn("__line_units", F.when(F.col("__line_kept").isNotNull(), units(F.col(f"`{text_col}`"), ends)))
-    rest = F.expr("concat_ws('', flatten(transform(concat(__line_kept.kept, array(named_struct('start', __line_kept.at, 'n', greatest(size(__line_units) - __line_kept.at + 1, 0)))), x -> slice(__line_units, x.start, x.n))))")
-    text = F.when(F.col("__line_kept").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
-    out = joined.withColumn("__line_text", text)
-    cols = [F.col("__line_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("__locator_file", "__locator_row")]
+    whole = F.col(f"`{text_col}`")
+    joined = src.join(gone.hint("merge"), doc == F.col(key), "left").withColumn(cut, F.when(F.col(held).isNotNull(), units(whole, ends)))
+    rest = F.expr(f"concat_ws('', flatten(transform(concat({held}.kept, array(named_struct('start', {held}.at, 'n', greatest(size({cut}) - {held}.at + 1, 0)))), x -> slice({cut}, x.start, x.n))))")
+    out = joined.withColumn(text, F.when(F.col(held).isNull(), whole).otherwise(rest))
+    cols = [F.col(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if stats:
-        cols += [F.coalesce("__line_kept.runs", F.lit(0)).cast("bigint").alias("__runs"), (F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) - F.length(F.coalesce("__line_text", F.lit("")))).cast("bigint").alias("__removed_chars")]
+        cols += [F.coalesce(f"{held}.runs", F.lit(0)).cast("bigint").alias("__runs"), (F.length(F.coalesce(whole, F.lit(""))) - F.length(F.coalesce(text, F.lit("")))).cast("bigint").alias("__removed_chars")]
     return out.select(*cols)
 
 

@@ -109,9 +109,17 @@ def brute_groups(rows):
     return {k: (min(v, key=lambda x: (x[0], x[1], x[2] or 0))[2], len(v)) for k, v in groups.items()}
 
 
-@pytest.mark.parametrize("weak, few", [(False, 500_000), (True, 500_000), (True, 0)])
-def test_exact_groups(spark, monkeypatch, weak, few):
-    monkeypatch.setattr(exact, "BROADCAST_HITS", few)
+@pytest.fixture(params=["10m", "-1"])
+def broadcast_up_to(request, spark):
+    """Every join as Spark plans it, and all of them shuffled."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_groups(spark, broadcast_up_to, weak):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice(["a", "b", " ", "\n"]) for _ in range(rng.randint(0, 6)))) for i in range(200)] + EDGES
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -160,8 +168,8 @@ def test_lines_random(spark):
         units, kept = [strip(u) for u in cut(t) if u], [strip(u) for u in cut(got[i].text) if u]
         # guarantee: what stays holds no long line that an earlier text has
         assert not [u for u in kept if len(u) >= lines.MIN_CHARS and first[u] < i]
-        # and no untouched text holds a run of RUN lines that an earlier text has
-        runs = {tuple(units[k : k + lines.RUN]) for k in range(len(units) - lines.RUN + 1)}
+        # and no untouched text holds a run of three lines that an earlier text has
+        runs = {tuple(units[k : k + 3]) for k in range(len(units) - 2)}
         if got[i].text == t:
             assert not [r for r in runs & earlier if sum(map(len, r)) >= lines.MIN_CHARS]
         else:
@@ -186,28 +194,116 @@ def test_runs_of_three_short_lines_go(spark):
     assert got == {i: f"Start {i}.\nEnd {i}.\n" if i % 2 else t for i, t in docs}
 
 
-def test_partly_repeated_texts(spark):
-    """Exactly the lines go that lie in a run which stood before, whatever the earliest text with a part of it goes on with."""
-    rng = random.Random(5)
-    docs = []
-    for i in range(60):  # the second and third text share a longer run than the first has
-        a, b, c, d, x = (f"{w} of family {i} {rng.random():.6f}\n" for w in "abcdx")
-        docs += [a + b + c + x, f"Start {i}.\n{a}{b}{c}{d}Middle {i}.\n", f"Begin {i}.\n{a}{b}{c}{d}Close {i}.\n"]
-    pool = [f"{'pad ' * rng.choice([0, 1, 4, 6, 15])}{i}\n" for i in range(9)]
-    docs += ["".join(rng.choice(pool) for _ in range(rng.randint(3, 25))) for _ in range(60)]
-    docs = list(enumerate(docs))
-    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    seen = set()
+def plain_runs(docs, least=lines.MIN_CHARS):
+    """Exactly the lines go that lie in a run of `least` characters which stood before."""
+    seen, out = set(), {}
     for i, t in docs:
-        units, gone = cut(t), set()
+        units, gone = [u for u in cut(t) if u], set()
         for k in range(len(units)):
-            for n in range(1, 11):
+            for n in range(1, len(units) - k + 1):
                 run = tuple(u.strip() for u in units[k : k + n])
-                size = sum(len(u) + 1 for u in run)
-                if len(run) == n and (n >= 5 or n >= 3 and size >= lines.MIN_CHARS or max(map(len, run)) + 1 >= lines.MIN_CHARS):
+                if sum(len(u) + 1 for u in run) >= least:
                     gone |= set(range(k, k + n)) if run in seen else set()
                     seen.add(run)
-        assert got[i] == "".join(u for k, u in enumerate(units) if k not in gone)
+                    break  # longer runs are made up of least ones from their first lines on ...
+        for k in range(len(units)):
+            for n in range(1, k + 2):
+                run = tuple(u.strip() for u in units[k - n + 1 : k + 1])
+                if sum(len(u) + 1 for u in run) >= least:
+                    gone |= set(range(k - n + 1, k + 1)) if ("up", run) in seen else set()
+                    seen.add(("up", run))
+                    break  # ... and up to their last ones
+        out[i] = "".join(u for k, u in enumerate(units) if k not in gone)
+    return out
+
+
+def slow_winnowing(docs, least=lines.MIN_CHARS):
+    """The operator step by step: hashes, grams, window minima, joined fingerprints, runs around them."""
+    import xxhash
+
+    def chained(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little"), h)
+        return h
+
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    gram = least // 3
+
+    def run(lens, at, chars, way=1):
+        total = n = 0
+        while total < chars and 0 <= at + way * n < len(lens):
+            total += lens[at + way * n]
+            n += 1
+        return n if total >= chars else None
+
+    table, prints = {}, collections.defaultdict(list)
+    for i, t in docs:
+        units = [u for u in cut(t) if u]
+        hs, lens = [chained([u.strip().encode()]) for u in units], [len(u.strip()) + 1 for u in units]
+        ks = [k for k in (run(lens, a, gram) for a in range(len(lens))) if k]
+        gs = [signed(chained(hs[a : a + k])) for a, k in enumerate(ks)]
+        picked = set()
+        for a in range(len(gs)):
+            w = run(lens, a, least - gram)
+            if w and a + w <= len(gs):
+                picked.add(a + gs[a : a + w].index(min(gs[a : a + w])))
+        table[i] = (units, hs, lens)
+        for a in sorted(picked):
+            prints[gs[a]].append((i, a, ks[a]))
+    keys = collections.defaultdict(set)
+    for i, a, k in (x for some in prints.values() if len(some) > 1 for x in some):
+        units, hs, lens = table[i]
+        spans = [(p, p + n) for p in range(a + 1) if (n := run(lens, p, least)) and p + n >= a + k]
+        spans += [(q - n + 1, q + 1) for q in range(a + k - 1, len(lens)) if (n := run(lens, q, least, -1)) and q - n + 1 <= a]
+        for p, q in spans:
+            keys[chained(hs[p:q])].add((i, p, q))
+    gone = collections.defaultdict(set)
+    for some in keys.values():
+        first = min(some)[:2]
+        for i, p, q in some:
+            if (i, p) != first:
+                gone[i] |= set(range(p, q))
+    return {i: "".join(u for a, u in enumerate(table[i][0]) if a not in gone[i]) for i, _ in docs}
+
+
+def line_corpus(seed):
+    """Short and long lines, blank ones, repeats inside a text, and families whose later texts share more than the first has."""
+    rng = random.Random(seed)
+    docs = []
+    for i in range(25):
+        a, b, c, d, x = (f"{w} of family {i} {rng.random():.6f}\n" for w in "abcdx")
+        docs += [a + b + c + x, f"Start {i}.\n{a}{b}{c}{d}Middle {i}.\n", f"Begin {i}.\n{a}{b}{c}{d}Close {i}.\n"]
+    for words in ([0, 1, 4, 6, 15], [0, 0, 0, 1], [0, 2, 30]):
+        pool = ["\n", "a\n"] + [f"{'pad ' * rng.choice(words)}{i}" + rng.choice(["\n", ". ", " \n"]) for i in range(12)]
+        docs += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    return list(enumerate(docs + ["A.\n" * 500, "", "x" * 5000, "A.\n" * 500]))
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_lines_equal_the_slow_versions(spark, broadcast_up_to, seed):
+    docs = line_corpus(seed)
+    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == slow_winnowing(docs)
+    assert got == plain_runs(docs)
+
+
+def test_fingerprints_are_window_minima(spark):
+    """Few lines are fingerprints where lines are short."""
+    rng = random.Random(4)
+    docs = [(i, "".join(f"{rng.randrange(10**6)}\n" for _ in range(200))) for i in range(20)]
+    table = lines.line_table(spark.createDataFrame(docs, "doc_id bigint, text string"), lines.F.col("doc_id"), "text", ".", 60)
+    found = sum(len(r.prints) for r in table.collect())
+    assert 20 * 200 / 7 < found < 20 * 200 / 2
+
+
+def test_min_chars_is_honoured(spark):
+    short = "".join(f"{w}\n" for w in "one two three four five six".split())  # 28 characters
+    docs = [(i, f"Own start {i}.\n{short}Own end {i}.\n") for i in range(3)]
+    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == dict(docs)
+    cut_off = lines.deduplicate_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), min_chars=28).collect()
+    assert {r.doc_id: r.text for r in cut_off} == {0: docs[0][1], 1: "Own start 1.\nOwn end 1.\n", 2: "Own start 2.\nOwn end 2.\n"}
 
 
 def test_query_cuts_after_every_sentence_end(spark):
