@@ -146,10 +146,10 @@ def candidate_pairs(lists: DataFrame, threshold: float) -> DataFrame:
     long = lists.where(F.col("df") > SHORT)
     hubs = long.groupBy("v").agg(F.min(who).alias("x"), F.max(who).alias("y"))
     # written first: a join of two tables lets a hot list be split, one above an aggregation doesn't
-    hubs = materialise(hubs.select("v", F.explode(F.array("x", "y")).alias("hub")), "near-hubs")
+    hubs = materialise(hubs.select("v", F.explode(F.array("x", "y")).alias("hub")), "near-hubs", short=True)
     held = long.join(hubs, "v").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
     fit = _sizes_fit(F.col("na"), F.col("nb"), threshold) & (F.col("a") != F.col("b"))
-    pairs = materialise(small.union(held).where(fit).distinct(), "near-pairs")
+    pairs = materialise(small.union(held).where(fit).distinct(), "near-pairs", short=True)
     discard(hubs)
     return pairs
 
@@ -191,13 +191,12 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     id_type = pairs.schema["a"].dataType.simpleString()
-    ids = materialise(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    full = full_sets(ids, docs, id_col, text_col, words)
+    full = full_sets(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col, words)
     # members first: a hub's set then meets the rows that carry its members' sets, and travels once
     joined = unsure.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
     checked = joined.select("a", "b", "ma", "mb").mapInArrow(verify, f"a {id_type}, b {id_type}")
     links = materialise(sure.union(checked), "near-links")
-    discard(likely, ids, full)
+    discard(likely, full)
     return links
 
 
@@ -253,7 +252,7 @@ def trees(links: DataFrame) -> DataFrame:
         first = F.col("before").isNull()
         tied = tied.where(first | ((F.col("v") != F.col("before")) & (F.col("v") != F.col("m"))))
         done = e
-        e, more = counted(tied.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (~first).alias("met")), "near-ties", F.col("met"))
+        e, more = counted(tied.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (~first).alias("met")), "near-ties", F.col("met"), short=True)
         if done.columns != ["u", "v"]:
             discard(done)
         if not more:
@@ -261,7 +260,7 @@ def trees(links: DataFrame) -> DataFrame:
     while True:
         up = e.select(F.col("u").alias("v"), F.col("v").alias("w"))
         done = e
-        e, more = counted(e.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("met")), "near-parts", F.col("met"))
+        e, more = counted(e.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("met")), "near-parts", F.col("met"), short=True)
         discard(done)
         if not more:
             return e.select(F.col("u").alias("node"), F.col("v").alias("part"))
@@ -274,7 +273,7 @@ def open_lists(lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
     named = lists.where(F.col("df") > SHORT).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     order = F.xxhash64("node")
     about = named.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min(order).alias("x"), F.max(order).alias("y"))
-    undecided, some = counted(about.where("lo <> hi").select("v", F.xxhash64("x", "y").alias("g")), "near-undecided")
+    undecided, some = counted(about.where("lo <> hi").select("v", F.xxhash64("x", "y").alias("g")), "near-undecided", short=True)
     return named.join(undecided, "v").select(F.col("g").alias("v"), "node", "n", "part").distinct(), some
 
 
@@ -285,7 +284,7 @@ def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     that can hold a link goes to one task, which gets all intersection sizes by matrix products and returns a spanning
     forest of the links. Work grows with the square of the blocks that one list fills.
     """
-    members = materialise(left, "near-members")
+    members = materialise(left, "near-members", short=True)
 
     def blocks(count, total):
         return F.greatest(F.ceil(count / BLOCK_DOCS), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
@@ -294,12 +293,12 @@ def block_links(left: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     parts = parts.withColumn("pure", (F.col("pc") * 2 >= BLOCK_DOCS) | (F.col("pn") * 2 >= BLOCK_SHINGLES))
     mixed = parts.where("not pure").groupBy("v").agg(blocks(F.sum("pc"), F.sum("pn")).alias("mb"))
     dealt = parts.join(mixed, "v", "left").select("v", "part", "pure", F.when(F.col("pure"), blocks(F.col("pc"), F.col("pn"))).otherwise(F.col("mb")).alias("nb"))
-    dealt = materialise(dealt, "near-dealt")
+    dealt = materialise(dealt, "near-dealt", short=True)
     block = F.when(F.col("pure"), F.struct(F.col("part").alias("of"), F.pmod(F.xxhash64("node"), "nb").cast("int").alias("no"))).otherwise(
         F.struct(F.lit(None).cast(members.schema["part"].dataType).alias("of"), F.pmod(F.xxhash64("part"), "nb").cast("int").alias("no"))
     )
-    placed = materialise(members.join(dealt, ["v", "part"]).select("v", "node", "part", block.alias("block")), "near-placed")
-    held = materialise(placed.groupBy("v").agg(F.sort_array(F.collect_set("block")).alias("bs")), "near-blocks")
+    placed = materialise(members.join(dealt, ["v", "part"]).select("v", "node", "part", block.alias("block")), "near-placed", short=True)
+    held = materialise(placed.groupBy("v").agg(F.sort_array(F.collect_set("block")).alias("bs")), "near-blocks", short=True)
     sets = full_sets(placed.select(F.col("node").alias("id")).distinct(), docs, id_col, text_col, words).withColumnRenamed("id", "node")
     meets = """transform(filter(transform(bs, (y, j) -> struct(cast(j + 1 as bigint) as j, y as y)), z ->
         block.of is null or z.y.of is null or block.of <> z.y.of), z -> z.j)"""

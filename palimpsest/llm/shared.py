@@ -10,25 +10,31 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from palimpsest.sources.workspace import workspace
 
 
-def write_table(df: DataFrame, tag: str, codec: str = "zstd") -> str:
-    """Write df once to the shared folder; its path."""
+#: Tables of short rows are written by so many times fewer tasks than a shuffle has, which is laid out for texts.
+SHORT_ROWS = 8
+
+
+def write_table(df: DataFrame, tag: str, codec: str = "zstd", short: bool = False) -> str:
+    """Write df once to the shared folder; its path. short: rows are short, so that fewer files will do."""
     path = workspace(df.sparkSession, tag)
+    if short:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHORT_ROWS))
     df.write.option("compression", codec).parquet(path)
     return path
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str = "zstd", short: bool = False) -> DataFrame:
     """df written once and read back: lineage ends there and survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag, codec))
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag, codec, short))
 
 
-def counted(df: DataFrame, tag: str, which: Column | None = None) -> tuple[DataFrame, int]:
+def counted(df: DataFrame, tag: str, which: Column | None = None, short: bool = False) -> tuple[DataFrame, int]:
     """materialise(df) and the number of its rows (of those where `which` holds), counted as they are written.
 
     A task that runs twice may count its rows twice, so the number is only good for telling none from some.
     """
     seen = Observation()
-    out = materialise(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")), tag)
+    out = materialise(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")), tag, short=short)
     return out, seen.get.get("n") or 0
 
 
