@@ -1,47 +1,51 @@
 """Main-text extraction by minimum cut.
 
-A page becomes a list of text blocks, each with its chain of open block elements. A linear classifier
-over tag, class, link and length features gives every block a log-odds of being content; its positive or
-negative part is the capacity of the block's edge to the source or the sink. Smoothness edges join
-neighbours in page order and, through a node for each parent element, blocks that stand close in the
-DOM. The blocks on the source side of a minimum cut are the main text.
-
-Null or empty html gives the empty text. Blocks are whole, white space inside them is one space, and they
-are joined by line feeds in page order; references are decoded and nothing is capped.
+A page becomes a list of text blocks, each with its chain of open elements. One linear classifier looks at each block by
+itself (tag, length, links, sentence end) and another at each container (article, navigation, advert ..., by tag, class,
+id and role); their log-odds are the capacities of the nodes' edges to the source or the sink. Smoothness edges join
+neighbours in page order, the more the closer they stand in the DOM; blocks below one parent, through a node for it; and each
+block and its nearest container. The blocks on the source side of a minimum cut are the main text: a short line inside
+the article stays and a long sentence inside an advert goes, though their own costs say otherwise.
+
+Null or empty html gives the empty text. Blocks are whole, white space inside them is one space, and they are joined by line
+feeds in page order; references are decoded and nothing is capped. Broken markup is read as browsers do, in one
+pass: a quote inside an unquoted value is part of it, what follows a tag that never ends is lost. Rows,
+repeated ones too, keep their other columns; one called like the new one, in whatever case, is replaced. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
-from dataclasses import dataclass, field
+from collections import Counter, deque
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.shared import append_columns
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|title|textarea|svg|iframe|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute, or what closes the tag; at the page's end neither.
+_ATTR = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)?))?)""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-_VOID = frozenset("hr".split())
+#: Elements whose inside is no text of the page; of the first ones markup inside doesn't count.
+_RAW = frozenset("script style title textarea iframe noscript noembed noframes".split())
+_SKIPPED = _RAW | frozenset("template svg object select".split())
+_END_OF = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in _SKIPPED}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 _SHUT = {"tr": 2, "td": 1, "th": 1, "tbody": 3}
 
-#: Elements and class, id or role words whose text is not the article.
+#: Words of tags, classes, ids and roles that the container classifier knows.
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button fieldset search head".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
@@ -52,12 +56,14 @@ FURNITURE_WORDS = frozenset(
 ARTICLE_TAGS = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article post entry story content main articlebody".split())
 
-#: Log-odds of the features, in thousandths.
-WEIGHTS = {"bias": -400, "furniture_tag": -9000, "furniture_word": -9000, "page_header": -7000, "article": 5000, "article_word": 2500, "paragraph": 900, "heading": 300, "linked": -3500, "length": 700}
-ADJACENT, SAME_PARENT = 350, 250
+#: Log-odds in thousandths: of a block, and of a container for each block that it holds.
+BLOCK_WEIGHTS = {"bias": -300, "paragraph": 500, "title": 900, "heading": 200, "linked": -1500, "doubling": 400, "short": -1200, "sentence": 200, "copyright": -1500}
+CONTAINER_WEIGHTS = {"furniture": -2600, "article": 2000, "article_word": 1200, "page": 1000}
+#: Capacities of smoothness edges: neighbours that are siblings, blocks of one parent, a block and its container.
+ADJACENT, SAME_PARENT, INSIDE = 600, 300, {"furniture": 3000, "article": 3000, "article_word": 3000, "page": 1000}
 
 
-@dataclass
+@dataclass(frozen=True)
 class Element:
     tag: str
     words: frozenset[str]
@@ -65,28 +71,66 @@ class Element:
     number: int
 
 
-@dataclass
+@dataclass(frozen=True)
 class Block:
     path: tuple[Element, ...]
     text: str
     linked: float
-    cost: int = 0
-    tags: frozenset[str] = field(default_factory=frozenset)
-
-
-def _element(tag: str, attrs: str, number: int) -> Element:
-    words: set[str] = set()
-    hidden = False
-    if attrs and ("=" in attrs or "hidden" in attrs):
-        for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), a or b or c
-            if name in ("class", "id", "role"):
-                words.update(w.lower() for w in _WORD.findall(value))
-            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                hidden = True
-            elif name == "aria-hidden" and value.lower() == "true":
-                hidden = True
-        hidden = hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs, re.I))
+
+
+# ---- blocks -----------------------------------------------------------------------------------------
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """("text", characters, {}), ("start", tag, attributes) and ("end", tag, {}) of a page, in one pass."""
+    at, n, start = 0, len(page), 0
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        after = page[at + 1 : at + 2]
+        closing = after == "/"
+        name = _NAME.match(page, at + 1 + closing)
+        if not name:
+            if after not in ("!", "?", "/"):
+                at += 1  # a lone "<" is text
+                continue
+            if at > start:
+                yield "text", page[start:at], {}
+            comment = page.startswith("<!--", at) and not page.startswith(("<!-->", "<!--->"), at)
+            end = page.find("-->", at + 4) if comment else page.find(">", at)
+            at = start = n if end < 0 else end + (3 if comment else 1)
+            continue
+        if at > start:
+            yield "text", page[start:at], {}
+        tag, at, attributes, done = name[0].lower(), name.end(), {}, False
+        while at < n and not done:
+            m = _ATTR.match(page, at)
+            if m is None or m.end() == at:
+                at += 1
+                continue
+            at, done = m.end(), m[1] is not None
+            if not done:
+                attributes.setdefault(m[2].lower(), m[3] or m[4] or m[5] or "")
+                if m[3] is m[4] is m[5] is None and page[at - 1] == "=" and page[at : at + 1] in ("'", '"'):
+                    at = n  # a quote that never ends
+        start = at
+        if not done:
+            break
+        if closing:
+            yield "end", tag, {}
+            continue
+        yield "start", tag, attributes
+        if tag in _SKIPPED:
+            end = _END_OF[tag].search(page, at)
+            at = start = end.start() if end else n
+    if start < n:
+        yield "text", page[start:], {}
+
+
+def _element(tag: str, attributes: dict[str, str], number: int) -> Element:
+    words = {w.lower() for a in ("class", "id", "role") if a in attributes for w in _WORD.findall(html.unescape(attributes[a]))}
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(attributes.get("style", "")))
     return Element(tag, frozenset(words), hidden, number)
 
 
@@ -95,7 +139,7 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[Element] = []
     buffer: list[tuple[str, bool]] = []
-    link, at, number = False, 0, 0
+    link, number = False, 0
 
     def flush() -> None:
         if buffer:
@@ -105,93 +149,104 @@ def blocks_of(page: str) -> list[Block]:
                 found.append(Block(tuple(stack), text, linked / max(1, sum(len(s) for s, _ in buffer))))
             buffer.clear()
 
-    def shut(names: set[str], depth: int) -> None:
-        while depth and stack and stack[-1].tag in names:
-            stack.pop()
-            depth -= 1
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            buffer.append((page[at : m.start()], link))
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue
-        if tag not in BLOCK:
-            if tag == "a":
-                link = not m[2]
-            elif tag in ("br", "img", "wbr", "input"):
+    for kind, value, attributes in tokens(page):
+        if kind == "text":
+            buffer.append((value, link))
+        elif value not in BLOCK:
+            if value == "a":
+                link = kind == "start"
+            elif value in ("br", "img", "wbr", "input"):
                 buffer.append((" ", False))
-            continue
-        flush()
-        link = False
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-            continue
-        if stack and stack[-1].tag == "p":
-            stack.pop()
-        shut(_CLOSES.get(tag, set()), _SHUT.get(tag, 1))
-        if tag not in _VOID:
-            number += 1
-            stack.append(_element(tag, m[4], number))
-    if at < len(page):
-        buffer.append((page[at:], link))
+        else:
+            flush()
+            link = False
+            if kind == "end":
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag == value:
+                        del stack[k:]
+                        break
+                continue
+            if stack and stack[-1].tag == "p":
+                stack.pop()
+            shut = _CLOSES.get(value, ())
+            for _ in range(_SHUT.get(value, 1)):
+                if stack and stack[-1].tag in shut:
+                    stack.pop()
+            if value != "hr":
+                number += 1
+                stack.append(_element(value, attributes, number))
     flush()
     return found
 
 
-def content_cost(b: Block) -> int:
-    """Log-odds (thousandths) that the block is main text; positive speaks for content."""
-    w = WEIGHTS
-    tags = {e.tag for e in b.path}
-    total = w["bias"]
-    in_article = bool(tags & ARTICLE_TAGS)
-    if tags & FURNITURE_TAGS:
-        total += w["furniture_tag"]
-    if any(e.words & FURNITURE_WORDS or e.hidden for e in b.path if e.tag not in ("html", "body")):
-        total += w["furniture_word"]
-    if "header" in tags and not in_article:
-        total += w["page_header"]
-    if in_article:
-        total += w["article"]
-    elif any(e.words & ARTICLE_WORDS for e in b.path):
-        total += w["article_word"]
-    last = b.path[-1].tag if b.path else ""
-    if last in ("p", "pre", "blockquote"):
+# ---- classifiers and edges --------------------------------------------------------------------------
+
+
+def block_cost(b: Block) -> int:
+    """Log-odds (thousandths) that a block is main text, by itself; positive speaks for content."""
+    w, tag, n = BLOCK_WEIGHTS, b.path[-1].tag if b.path else "", len(b.text)
+    total = w["bias"] + int(w["linked"] * b.linked) + w["doubling"] * max(0, min(4, n.bit_length() - 6))
+    if tag in ("p", "pre", "blockquote"):
         total += w["paragraph"]
-    elif last in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    elif tag == "h1":
+        total += w["title"]
+    elif tag in ("h2", "h3", "h4", "h5", "h6"):
         total += w["heading"]
-    total += int(w["linked"] * b.linked)
-    return total + w["length"] * min(4, len(b.text).bit_length() - 5)
+    if n < 32:
+        total += w["short"]
+    if b.text[-1] in ".!?…。":
+        total += w["sentence"]
+    return total + (w["copyright"] if "©" in b.text else 0)
+
+
+def container_of(path: tuple[Element, ...], wrappers: frozenset[int]) -> tuple[int, str]:
+    """Number and kind of the element that says what a block is part of. Whatever stands inside furniture is furniture; else the
+    innermost article counts, and else the page. A form around an article (wrappers) is none."""
+    found = 0, "page"
+    inside = False  # an article
+    for e in path:
+        if e.tag in ("html", "body"):
+            continue
+        furniture = (e.tag in FURNITURE_TAGS and e.number not in wrappers) or e.hidden or (e.tag == "header" and not inside)
+        if furniture or e.words & FURNITURE_WORDS:
+            return e.number, "furniture"
+        if e.tag in ARTICLE_TAGS:
+            found, inside = (e.number, "article"), True
+        elif e.words & ARTICLE_WORDS and not inside:
+            found = e.number, "article_word"
+    return found
 
 
-def smoothness(blocks: list[Block]) -> tuple[int, dict[tuple[int, int], int]]:
-    """Number of nodes (blocks, then parent elements) and the symmetric capacities between them."""
+def graph(blocks: list[Block]) -> tuple[list[int], dict[tuple[int, int], int]]:
+    """Costs of the nodes (blocks, then containers, then parents) and the symmetric capacities between them."""
+    costs = [block_cost(b) for b in blocks]
     edges: dict[tuple[int, int], int] = {}
-    groups: dict[int, list[int]] = {}
-    for i, b in enumerate(blocks):
-        if i:
-            edges[i - 1, i] = ADJACENT
-        holder = b.path[-2] if len(b.path) > 1 else None
-        if holder is not None:
-            groups.setdefault(holder.number, []).append(i)
-    n = len(blocks)
-    for members in groups.values():
-        if len(members) > 1:
-            for i in members:
-                edges[i, n] = SAME_PARENT
-            n += 1
-    return n, edges
+    for i in range(1, len(blocks)):
+        a, b = blocks[i - 1].path, blocks[i].path
+        same = 0
+        while same < min(len(a), len(b)) and a[same].number == b[same].number:
+            same += 1
+        edges[i - 1, i] = 2 * ADJACENT // max(2, len(a) + len(b) - 2 * same)
+    wrappers = frozenset(e.number for b in blocks for k, e in enumerate(b.path) if e.tag == "form" and any(x.tag in ARTICLE_TAGS for x in b.path[k:]))
+    inside = [container_of(b.path, wrappers) for b in blocks]
+    held = Counter(inside)
+    place = {c: len(blocks) + k for k, c in enumerate(held)}
+    costs += [CONTAINER_WEIGHTS[kind] * n for (_, kind), n in held.items()]
+    edges.update(((i, place[c]), INSIDE[c[1]]) for i, c in enumerate(inside))
+    parents = Counter(b.path[-2].number for b in blocks if len(b.path) > 1)
+    place = {e: len(costs) + k for k, e in enumerate(e for e, n in parents.items() if n > 1)}
+    costs += [0] * len(place)
+    edges.update(((i, place[b.path[-2].number]), SAME_PARENT) for i, b in enumerate(blocks) if len(b.path) > 1 and b.path[-2].number in place)
+    return costs, edges
+
+
+# ---- minimum cut ------------------------------------------------------------------------------------
 
 
 def min_cut(costs: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
     """True for the nodes on the source side of a minimum cut (the largest such side, so ties are content).
 
-    Nodes whose own cost outweighs all their edges are settled first, which is exact and settles most
-    pages; augmenting paths over shortest levels do the rest.
+    Nodes whose own cost outweighs all their edges are settled first, which is exact; shortest augmenting paths do the rest.
     """
     n = len(costs)
     near: list[dict[int, int]] = [{} for _ in range(n)]
@@ -204,8 +259,7 @@ def min_cut(costs: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
         i = pending.popleft()
         if label[i] is not None:
             continue
-        weight = sum(near[i].values())
-        if abs(costs[i]) > weight or not near[i]:
+        if abs(costs[i]) > sum(near[i].values()) or not near[i]:
             label[i] = costs[i] >= 0
             for j, c in near[i].items():
                 costs[j] += c if label[i] else -c
@@ -214,69 +268,91 @@ def min_cut(costs: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
             near[i] = {}
     rest = [i for i in range(n) if label[i] is None]
     if rest:
-        side = _max_flow_side(rest, costs, near)
-        for i in rest:
-            label[i] = i in side
+        for i, kept in zip(rest, _source_side(rest, costs, near)):
+            label[i] = kept
     return label  # type: ignore[return-value]
 
 
-def _max_flow_side(nodes: list[int], costs: list[int], near: list[dict[int, int]]) -> set[int]:
-    s, t = -1, -2
-    cap: dict[int, dict[int, int]] = {v: dict(near[v]) for v in nodes} | {s: {}, t: {}}
+def _source_side(nodes: list[int], costs: list[int], near: list[dict[int, int]]) -> list[bool]:
+    """Which of the nodes can't reach the sink once the flow is greatest; arcs are numbered in pairs, a and a ^ 1."""
+    number = {v: k for k, v in enumerate(nodes)}
+    source, sink = len(nodes), len(nodes) + 1
+    head: list[int] = []
+    room: list[int] = []
+    out: list[list[int]] = [[] for _ in range(len(nodes) + 2)]
+
+    def join(a: int, b: int, forth: int, back: int) -> None:
+        out[a].append(len(head))
+        out[b].append(len(head) + 1)
+        head.extend((b, a))
+        room.extend((forth, back))
+
     for v in nodes:
+        a = number[v]
         if costs[v] > 0:
-            cap[s][v], cap[v][s] = costs[v], 0
+            join(source, a, costs[v], 0)
         elif costs[v] < 0:
-            cap[v][t], cap[t][v] = -costs[v], 0
+            join(a, sink, -costs[v], 0)
+        for u, c in near[v].items():
+            if number[u] > a:
+                join(a, number[u], c, c)
     while True:
-        level = {s: 0}
-        queue = deque([s])
-        while queue:
-            u = queue.popleft()
-            for v, c in cap[u].items():
-                if c > 0 and v not in level:
-                    level[v] = level[u] + 1
-                    queue.append(v)
-        if t not in level:
+        level = [-1] * len(out)
+        level[source] = 0
+        queue = deque((source,))
+        while queue and level[sink] < 0:
+            a = queue.popleft()
+            for k in out[a]:
+                if room[k] > 0 and level[head[k]] < 0:
+                    level[head[k]] = level[a] + 1
+                    queue.append(head[k])
+        if level[sink] < 0:
             break
-        ways = {u: iter(list(cap[u])) for u in level}
-        path = [s]
-        while path:
-            u = path[-1]
-            if u == t:
-                push = min(cap[a][b] for a, b in zip(path, path[1:]))
-                for a, b in zip(path, path[1:]):
-                    cap[a][b] -= push
-                    cap[b][a] += push
-                cutoff = next(k for k, (a, b) in enumerate(zip(path, path[1:])) if cap[a][b] == 0)
-                del path[cutoff + 1 :]
+        todo = [0] * len(out)  # the first arc of each node that may still lead on
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                push = min(room[k] for k in path)
+                for k in path:
+                    room[k] -= push
+                    room[k ^ 1] += push
+                first = next(i for i, k in enumerate(path) if not room[k])
+                a = head[path[first] ^ 1]
+                del path[first:]
                 continue
-            for v in ways[u]:
-                if level.get(v) == level[u] + 1 and cap[u][v] > 0:
-                    path.append(v)
-                    break
+            arcs, i = out[a], todo[a]
+            while i < len(arcs) and (room[arcs[i]] <= 0 or level[head[arcs[i]]] != level[a] + 1):
+                i += 1
+            todo[a] = i
+            if i < len(arcs):
+                path.append(arcs[i])
+                a = head[arcs[i]]
+            elif path:
+                level[a] = -1
+                a = head[path.pop() ^ 1]
             else:
-                path.pop()
-    # largest source side: whatever cannot reach the sink
-    reaches, queue = {t}, deque([t])
+                break
+    reaches = [False] * len(out)
+    reaches[sink] = True
+    queue = deque((sink,))
     while queue:
-        u = queue.popleft()
-        for v in cap[u]:
-            if v not in reaches and cap[v].get(u, 0) > 0:
-                reaches.add(v)
-                queue.append(v)
-    return {v for v in nodes if v not in reaches}
+        a = queue.popleft()
+        for k in out[a]:
+            if room[k ^ 1] > 0 and not reaches[head[k]]:
+                reaches[head[k]] = True
+                queue.append(head[k])
+    return [not x for x in reaches[: len(nodes)]]
+
+
+# ---- pages ------------------------------------------------------------------------------------------
 
 
 def labelled(page: str | None) -> list[tuple[str, bool, int]]:
-    """(text, content?, log-odds) of every block."""
+    """(text, content?, its own log-odds) of every block."""
     blocks = blocks_of(page) if page else []
-    if not blocks:
-        return []
-    costs = [content_cost(b) for b in blocks]
-    n, edges = smoothness(blocks)
-    keep = min_cut(costs + [0] * (n - len(blocks)), edges)
-    return [(b.text, k, c) for b, k, c in zip(blocks, keep, costs)]
+    costs, edges = graph(blocks)
+    return [(b.text, k, c) for b, k, c in zip(blocks, min_cut(costs, edges), costs)]
 
 
 def main_text(page: str | None) -> str:
