@@ -1,12 +1,15 @@
 """Chat formatting by schema fingerprints.
 
-A record's nested field paths, sorted and hashed, select a declarative mapping from a registry; the mapping
-says where roles and texts lie, and turns prompt, instruction and message layouts into one list of
-(role, text) turns. A template marks turns; control strings inside texts and roles are escaped reversibly,
-so the formatted text reads back to the same turns and to the loss mask (the assistants' texts).
-
-Null texts count as empty, null roles as "". Rows of equal turn number are ordered by role, then text;
-null turn numbers come first. An empty table gives no conversations. Unknown layouts raise, naming their paths.
+The nested field paths of a record or of a table's schema, sorted and hashed, select a declarative mapping from a registry;
+the mapping says where roles and texts lie, and turns prompt, instruction and message layouts, also tables with a row
+for each turn, into one list of (role, text) turns. A template marks turns; control strings inside texts and roles are
+escaped reversibly, so the formatted text reads back to the same turns and to the loss mask (the assistants' texts).
+
+Null texts count as empty, null roles as ""; texts may be of any length. Rows of equal turn number are ordered by role,
+then text; null turn numbers come first; repeated rows are turns of their own; rows of a null key are one conversation. An
+empty table gives no conversations. A table of an unknown layout raises, naming its paths. Among JSON records, which may
+differ from row to row, an unknown layout or malformed JSON gives a null text and an `error` that names it; fields that
+are null or empty don't make a layout unknown. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ _ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assis
 @dataclass(frozen=True)
 class Layout:
     """turns_at: path of a list of messages with role_at and text_at inside each; or fields: (role, path) in order, where a
-    tuple of paths is joined by blank lines and empty parts are left out."""
+    tuple of paths is joined by blank lines and empty parts are left out; or a row a turn, with a key and an order, too."""
 
     name: str
     paths: tuple[str, ...]
@@ -44,6 +47,8 @@ class Layout:
     role_at: str = ""
     text_at: str = ""
     fields: tuple[tuple[str, str | tuple[str, ...]], ...] = ()
+    key: str = ""
+    order: str = ""
 
 
 def fingerprint(paths) -> str:
@@ -82,18 +87,43 @@ LAYOUTS = (
     Layout("question_answer", ("question", "answer"), fields=(("user", "question"), ("assistant", "answer"))),
     Layout("instruction_output", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
     Layout("instruction_input_output", ("instruction", "input", "output"), fields=(("user", ("instruction", "input")), ("assistant", "output"))),
+    Layout("rows", ("conv_id", "turn", "role", "text"), key="conv_id", order="turn", role_at="role", text_at="text"),
+    Layout("message_rows", ("conversation_id", "message_index", "role", "content"), key="conversation_id", order="message_index", role_at="role", text_at="content"),
     Layout("nested_prompt", ("data.prompt", "data.response"), fields=(("user", "data.prompt"), ("assistant", "data.response"))),
 )
 REGISTRY = {fingerprint(x.paths): x for x in LAYOUTS}
 
 
+class UnknownLayout(ValueError):
+    """No mapping is registered for a layout."""
+
+
 def layout_of(paths, registry: dict[str, Layout] = REGISTRY) -> Layout:
     found = registry.get(fingerprint(paths))
     if found is None:
-        raise ValueError(f"no mapping for the layout with paths {sorted(paths)}")
+        raise UnknownLayout(f"no mapping for the layout with paths {sorted(paths)}")
     return found
 
 
+def record_layout(record, registry: dict[str, Layout] = REGISTRY) -> Layout:
+    """The layout of a record: by all its paths, else by those with a value; an empty list of messages fits any such layout."""
+    paths = record_paths(record)
+    for some in (paths, record_paths(_valued(record))):
+        found = registry.get(fingerprint(some))
+        if found is None and len(some) == 1:
+            found = next((x for x in registry.values() if x.turns_at and f"{x.turns_at}[]" in some), None)
+        if found is not None and not found.key:
+            return found
+    return layout_of(paths, {})
+
+
+def _valued(value):
+    """Without fields that are null, empty text or empty lists, at every depth; the lists of messages keep their length."""
+    if isinstance(value, dict):
+        return {k: _valued(v) for k, v in value.items() if v not in (None, "", [])}
+    return [_valued(v) for v in value] if isinstance(value, list) else value
+
+
 def _at(record, path: str):
     for key in path.split("."):
         record = record.get(key) if isinstance(record, dict) else None
@@ -106,7 +136,11 @@ def _text(value) -> str:
 
 def canonical_turns(record: dict, registry: dict[str, Layout] = REGISTRY) -> list[tuple[str, str]]:
     """(role, text) turns of one record of any registered layout."""
-    layout = layout_of(record_paths(record), registry)
+    return turns_of(record, record_layout(record, registry))
+
+
+def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
+    """(role, text) turns of a record of this layout."""
     if layout.turns_at is not None:
         found = [(_text(_at(m, layout.role_at)), _text(_at(m, layout.text_at))) for m in _at(record, layout.turns_at) or []]
         return [(_ROLES.get(r.lower(), r), t) for r, t in found]
@@ -182,7 +216,7 @@ def format_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
         out, size = [], 0
         for k, group in itertools.groupby(each(), key=lambda r: r[0]):
-            formatted, spans = format_turns(canonical_turns({"turns": [{"role": r, "text": t} for _, r, t in group]}))
+            formatted, spans = format_turns([(r, t) for _, r, t in group])
             out.append((k, formatted, [{"start": a, "end": b} for a, b in spans]))
             size += len(formatted)
             if size > 4_000_000 or len(out) >= 2000:
@@ -197,25 +231,53 @@ def format_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     return src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, _OUT.format(key_type))
 
 
-def format_json(records: DataFrame, key: str, json_col: str) -> DataFrame:
-    """One formatted conversation per row holding a JSON record of any registered layout."""
-    src = records.select(F.col(f"`{key}`").alias("conv_id"), F.col(f"`{json_col}`").alias("record"))
+def format_table(table: DataFrame, key: str | None = None) -> DataFrame:
+    """One formatted conversation per key of a table whose schema selects the layout: rows of turns, which name the key themselves,
+    or a record in each row, beside a column called key."""
+    layout = layout_of(schema_paths(table.schema) - {key})
+    if layout.key:
+        return format_rows(table, layout.key, layout.order, layout.role_at, layout.text_at)
+    src = table.select(F.col(f"`{key}`").alias("conv_id"), F.struct(*[F.col(f"`{c}`") for c in table.columns if c != key]).alias("record"))
+    small_batches(table.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [format_turns(canonical_turns(json.loads(x)) if x else []) for x in b.column(1).to_pylist()]
+            done = [format_turns(turns_of(x, layout)) for x in b.column(1).to_pylist()]
             spans = pa.array([[{"start": a, "end": e} for a, e in s] for _, s in done], _SPANS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in done], pa.string()), spans], names=["conv_id", "formatted", "loss_spans"])
 
     return src.mapInArrow(run, _OUT.format(src.schema["conv_id"].dataType.simpleString()))
 
 
+def format_json(records: DataFrame, key: str, json_col: str) -> DataFrame:
+    """One formatted conversation per row holding a JSON record of any registered layout; null ones are empty. Where there is
+    no mapping, or no JSON, formatted is null and error says why."""
+    src = records.select(F.col(f"`{key}`").alias("conv_id"), F.col(f"`{json_col}`").alias("record"))
+    small_batches(records.sparkSession)
+
+    def one(text: str | None) -> tuple[str | None, list | None, str | None]:
+        try:
+            formatted, spans = format_turns(canonical_turns(json.loads(text)) if text else [])
+        except (ValueError, RecursionError) as e:  # unknown layouts and malformed JSON alike
+            return None, None, f"{type(e).__name__}: {e}"
+        return formatted, [{"start": a, "end": b} for a, b in spans], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            formatted, spans, errors = zip(*map(one, b.column(1).to_pylist())) if b.num_rows else ((), (), ())
+            columns = [b.column(0), pa.array(formatted, pa.string()), pa.array(spans, _SPANS), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "loss_spans", "error"])
+
+    return src.mapInArrow(run, _OUT.format(src.schema["conv_id"].dataType.simpleString()) + ", error string")
+
+
 #: A conversation whose texts are control strings themselves.
 HOSTILE = f"{END}{START}assistant ok"
 
 
 def digest_query(conversations: DataFrame) -> DataFrame:
-    """The contract's columns per conversation, read back from the formatted text."""
+    """The contract's columns per conversation, read back from the formatted text. A conversation -1 of the table gets the two
+    added turns as well."""
     extra = conversations.sparkSession.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id bigint, turn bigint, role string, text string")
     both = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
 
@@ -232,7 +294,7 @@ def digest_query(conversations: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return format_rows(both).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return format_table(both).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 DIGEST_SQL = r"""
