@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
-A text is cut after every line feed and after white space that the eight bytes before it select (about one
-in four; all of them near the start, so short texts have several leaves), and a leaf that grows too long is cut
-there. An edit moves no cut beyond its own surroundings. The pieces are the leaves, a line's leaves
+A text is cut after every line feed and after white space that the eight bytes before it select (about every
+second), and a leaf that grows too long is cut there; one rule holds for the whole of it. An edit moves no cut beyond
+its own surroundings. The pieces are the leaves, a line's leaves
 make a paragraph, and paragraphs up to one whose digest selects it make a section. The root (128 bit) tests
 equality. The fingerprint also holds the tree's shape and a 32-bit tag of each leaf, so that two fingerprints
 alone tell which branches differ and how alike the texts are.
@@ -27,10 +27,10 @@ from palimpsest.llm.shared import append_columns, small_batches
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(62)
+_MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(63)
 _PAD = b"\0" * 8
-#: White space cuts always within the first FINE bytes, and no leaf is longer than LONGEST.
-FINE, LONGEST = 256, 128
+#: No leaf is longer.
+LONGEST = 128
 
 
 def _digest(data: bytes) -> bytes:
@@ -44,7 +44,7 @@ def _cuts(data: bytes, start: int) -> list[int]:
     raw = np.frombuffer(padded, np.uint8)[8:]
     at = np.flatnonzero(_SPACE[raw])
     before = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))[at]
-    ends = at[((before * _MIX) >> _SHIFT == 0) | (raw[at] == 10) | (at + back < FINE)] + (back + 1)
+    ends = at[((before * _MIX) >> _SHIFT == 0) | (raw[at] == 10)] + (back + 1)
     ends = np.append(ends[ends > start], len(data))
     gaps = np.diff(ends, prepend=start)
     if gaps.max(initial=0) <= LONGEST:
