@@ -5,7 +5,9 @@ partitions' token totals (one number each) turn into prefix sums, which give eve
 one long stream of ids. Pass two cuts the stream at multiples of the sequence length: a document that
 crosses a cut gives one boundary record a window. Only the last sequence is short.
 
-Null text counts as empty: such a document holds its end id alone. Empty tables give no rows.
+Null text counts as empty: such a document holds its end id alone. A text of any length is tokenised whole, and its pieces
+may fill many sequences. Repeated rows and rows of equal or null ids are documents of their own. Only the id and text
+columns are read, so others may have any name. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.shared import materialise, small_batches
 
-#: A prefix-sum table of at most so many partitions is broadcast (16 bytes each); beyond it a shuffled join is used.
-BROADCAST_PARTITIONS = 1_000_000
-
-
 class ByteBpe:
-    """Ids of a byte-level BPE: the rank form of the vocabulary is quick, the JSON form settles texts that hold special tokens."""
+    """Ids of a byte-level BPE: the rank form of the vocabulary is quick, the JSON form settles texts that hold special tokens
+    and those that the quick one gives up on (its pattern matcher runs out of stack within very long runs of one kind)."""
 
     def __init__(self, json_file: str, rank_file: str, pattern: str):
         import tiktoken
@@ -41,9 +40,12 @@ class ByteBpe:
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.quick.encode_to_numpy(text, disallowed_special=())
+        if not any(s in text for s in self.special):
+            try:
+                return self.quick.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -86,12 +88,11 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
 
 
 def place(tokens: DataFrame) -> DataFrame:
-    """tokens with `start`, each document's offset in the whole stream."""
+    """tokens with `start`, each document's offset in the whole stream. One number a partition reaches the driver."""
     spark = tokens.sparkSession
     totals = sorted((r.part, r.n) for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())
     before = itertools.accumulate((n for _, n in totals), initial=0)
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, before)], "part int, base bigint")
-    bases = F.broadcast(bases) if len(totals) <= BROADCAST_PARTITIONS else bases
     return tokens.join(bases, "part").withColumn("start", F.col("base") + F.col("local"))
 
 
