@@ -5,13 +5,16 @@ overlaps inside a kind, and always kept. Further kinds (iban, ssn, local_phone)
 patterns, confirmed by a checksum where one exists, and kept when their score, raised by context
 words close by, reaches the threshold and they overlap no base span.
 
-Null or empty text has no spans. Offsets are code points, ends exclusive. Rows keep their other columns.
+Null or empty text has no spans; texts of any length are read whole. Offsets are code points, ends exclusive. Spans that
+tie on their start stand in the order of kinds. Rows, repeated ones too, keep their other columns; one called like a new
+column, in whatever case, is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -95,6 +98,17 @@ def _scored(text: str, kind: str, start: int, end: int, window: int) -> Span:
     return Span(kind, start, end, min(1.0, _PRIOR[kind] + (0.3 if _CONTEXT[kind].search(near) else 0.0)))
 
 
+def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover, as ordered pieces that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def find_spans(text: str | None, threshold: float = 0.6, window: int = 48) -> list[Span]:
     """All spans of one whole text, by start and then kind."""
     if not text:
@@ -109,13 +123,14 @@ def find_spans(text: str | None, threshold: float = 0.6, window: int = 48) -> li
         proposed = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
         proposed += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         proposed += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
-        taken = sorted((s, e) for _, s, e in base)
+        taken = _merged(base)
         for kind, s, e in proposed:
-            if not any(s < b and a < e for a, b in taken):
+            at = bisect_left(taken, (e,))  # the last one that begins before e
+            if at == 0 or taken[at - 1][1] <= s:
                 span = _scored(text, kind, s, e, window)
                 if span.score >= threshold:
                     extra.append(span)
-                    taken.append((s, e))
+                    taken.insert(at, (s, e))
     spans = [_scored(text, k, s, e, window) for k, s, e in base] + extra
     return sorted(spans, key=lambda x: (x.start, ORDER[x.kind]))
 
