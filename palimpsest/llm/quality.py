@@ -4,26 +4,29 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learn
 chunk's byte embeddings and an echo channel (do the last eight bytes repeat what stood up to ECHO bytes
 before?) and are max-pooled, a small layer turns the pooled values into chunk features, and the
 features' maximum and mean over all chunks give one probability. Training happens here, by Adam, on a
-bounded sample of labelled rows (PER_CLASS of each label, TRAIN_CHUNKS evenly spaced chunks of each text), chosen by a
-hash of the id; scoring reads whole texts.
+bounded sample of labelled rows (PER_CLASS of each label, chosen by a hash of the id); training and scoring both
+read whole texts, a bounded number of chunks at a time.
 
-Only text is an input of a score. Null and empty texts are one chunk of padding and get a score as well. With
-labels of one kind only, every score is that label; with none it is 0.5.
+Only text is an input of a score. Null and empty texts are one chunk of padding and get a score as well; texts may be of
+any length. An id with both labels is not learned from; of rows that share an id one is. With labels of one kind only,
+every score is that label; with none it is 0.5. An empty table gives no rows; other columns pass through, and one called
+like the new one is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.shared import append_columns, fresh, small_batches
+from palimpsest.llm.shared import append_columns, fresh
 
-#: Bound of the training sample: documents a label, chunks a document.
-PER_CLASS, TRAIN_CHUNKS = 1500, 8
+#: Bound of the training sample: documents a label.
+PER_CLASS = 1500
+#: Chunks convolved at a time.
+BLOCK = 48
 CHUNK, STEP = 512, 384
 WIDTH, DIM, FILTERS, HIDDEN, ECHO = 7, 4, 16, 12, 32
 ROW = WIDTH * (DIM + 1)
@@ -70,14 +73,19 @@ class Net:
 
     def pooled(self, chunks: np.ndarray, where: bool = False):
         """Max-pooled filter responses of each chunk, and their positions if asked for."""
-        a = (self.windows(chunks) @ self.p["conv"]).reshape(len(chunks), CHUNK - WIDTH + 1, FILTERS)
-        top = a.max(1) + self.p["conv_b"]
-        return (top, a.argmax(1)) if where else top
+        tops, places = [], []
+        for at in range(0, len(chunks), BLOCK):
+            some = chunks[at : at + BLOCK]
+            a = (self.windows(some) @ self.p["conv"]).reshape(len(some), CHUNK - WIDTH + 1, FILTERS)
+            tops.append(a.max(1) + self.p["conv_b"])
+            if where:
+                places.append(a.argmax(1))
+        return (np.concatenate(tops), np.concatenate(places)) if where else np.concatenate(tops)
 
     def features(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(np.maximum(pooled, 0) @ self.p["hid"] + self.p["hid_b"], 0)
 
-    def scores(self, texts: list[str | None], block: int = 48) -> np.ndarray:
+    def scores(self, texts: list[str | None], block: int = BLOCK) -> np.ndarray:
         """One probability per text, a bounded number of chunks at a time."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
@@ -110,25 +118,24 @@ class Net:
 
 
 def fit(samples: list[tuple[int, bytes]], epochs: int = 24, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
-    """Train on (label, chunks joined) pairs; classes weigh the same."""
+    """Train on (label, UTF-8 text) pairs; classes weigh the same."""
     net = Net.fresh(seed)
     labels = np.array([y for y, _ in samples], np.float32)
     if len(set(labels.tolist())) < 2:
         net.constant = float(labels[0]) if len(labels) else 0.5
         return net
-    docs = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, c in samples]
     share = labels.mean()
     weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     r = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    epochs = max(epochs, min(120, -(-12_000 // len(docs))))
-    steps, step = epochs * -(-len(docs) // batch), 0
+    epochs = max(epochs, min(120, -(-12_000 // len(samples))))
+    steps, step = epochs * -(-len(samples) // batch), 0
     for _ in range(epochs):
-        order = r.permutation(len(docs))
+        order = r.permutation(len(samples))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
-            grads = _gradients(net, [docs[i] for i in some], labels[some], weight[some])
+            grads = _gradients(net, [chunks_of(samples[i][1]) for i in some], labels[some], weight[some])
             step += 1
             now = rate * min(1.0, step / 20) * (1 - step / (steps + 1))
             for k, g in grads.items():
@@ -178,23 +185,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
-    """Fit on labelled rows that aren't held out. At most 2 * PER_CLASS documents of TRAIN_CHUNKS chunks reach the driver."""
-    small_batches(docs.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    """Fit on labelled rows that aren't held out. At most 2 * PER_CLASS texts reach the driver, one of each id."""
+    y = F.col(label_col).cast("int")
+    known = labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), y.alias("y")).where("y in (0, 1)")
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for y in (0, 1)]
-    chosen = picked[0].union(picked[1])
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = []
-            for t in b.column(1).to_pylist():
-                c = chunks_of((t or "").encode())
-                made.append(c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).round().astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.binary())], names=["id", "y", "chunks"])
-
-    rows = src.select("id", "text", "y").mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, y int, chunks binary").collect()
-    return fit([(r.y, bytes(r.chunks)) for r in sorted(rows, key=lambda r: (r.id, r.y, bytes(r.chunks)))])
+    # at most 2 * PER_CLASS ids, so this may be broadcast at every size
+    chosen = F.broadcast(picked[0].union(picked[1]))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(chosen, "id")
+    rows = src.groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    return fit([(r.y, r.text.encode()) for r in sorted(rows, key=lambda r: r.id)])
 
 
 def score(docs: DataFrame, net: Net, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,9 @@ def test_base_spans_random():
 
 
 def test_long_runs_take_linear_time():
+    begun = time.process_time()
+    pii.find_spans("call 555-123-4567 now, mail a@b.cd, " * 20000)
+    assert time.process_time() - begun < 5
     for t in ("a" * 200000, "1" * 200000, "1." * 100000, "@" * 100000, "+1 " * 60000, "a@" * 60000):
         pii.find_spans(t)
 
@@ -77,16 +81,36 @@ def test_pieces_equal_the_library():
     sp, c = pieces.codec(pieces.default_model()).sp, pieces.codec(pieces.default_model())
     assert c.separable
     rng = random.Random(5)
-    for _ in range(5000):
-        t = "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 25)))
-        ids = sp.encode(t)
-        assert c.encode(t) == ids and c.digest_parts(t) == (len(ids), ",".join(map(str, ids)), sp.decode(ids)), t
+    for _ in range(100):
+        some = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 25))) for _ in range(50)] + [None]
+        ids = [sp.encode(t or "") for t in some]
+        assert c.encode(some) == ids and c.parts(some) == [(len(x), ",".join(map(str, x)), sp.decode(x) if x else "") for x in ids], some
+
+
+def test_distinct_words_are_segmented_once():
+    c, seen = pieces.ChunkCodec(pieces.default_model()), []
+    segmented = c._segmented
+    c._segmented = lambda chunks: seen.extend(chunks) or segmented(chunks)
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) for _ in range(200)]
+    assert [x for k in range(0, 200, 20) for x in c.encode(texts[k : k + 20])] == [c.sp.encode(t) for t in texts]
+    assert len(seen) == len(set(seen)) == len({w for t in texts for w in t.split()})
+
+
+def test_words_in_use_stay_in_a_small_table():
+    c, seen = pieces.ChunkCodec(pieces.default_model(), max_chunks=60), []
+    segmented = c._segmented
+    c._segmented = lambda chunks: seen.extend(chunks) or segmented(chunks)
+    for k in range(50):
+        t = f"steady words come back new{k} other{k}"
+        assert c.encode([t]) == [c.sp.encode(t)] and len(c.young) + len(c.old) <= 70
+    assert [seen.count(f" {w}") for w in ("steady", "words", "come", "back")] == [1] * 4
 
 
 def test_small_table_gives_the_same():
-    c = pieces.ChunkCodec(pieces.default_model(), max_chunks=3, longest_cached=4)
+    c = pieces.ChunkCodec(pieces.default_model(), max_chunks=3, longest_kept=4)
     t = "one two three one longerword two\nfour five " * 5
-    assert c.encode(t) == c.sp.encode(t) and len(c.table) <= 12
+    assert c.encode([t]) * 2 == c.encode([t, t]) == [c.sp.encode(t)] * 2 and len(c.young) + len(c.old) <= 12
 
 
 def test_pieces_tables(spark):
@@ -177,6 +201,41 @@ def test_main_text():
     assert extract.main_text(long).count("\n") == 4999
 
 
+def test_broken_markup_keeps_its_text():
+    quoted = "<p title=Bob's>First one here.</p><p>I don't know.</p><p>Third one isn't it."
+    assert extract.main_text(quoted) == "First one here.\nI don't know.\nThird one isn't it."
+    assert extract.main_text("<article><p>1 < 2 and 3 <4 <!> x</p><p a='>' b=\">\" c>y</p></article>") == "1 < 2 and 3 <4 x\ny"
+    assert extract.main_text("<article><p>a<!-- x --><!--> b</p><script>if (a</b>) '<p>'</script><p>c") == "a b\nc"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<" * 1_000_000, "<a x='" * 170_000, "<!--" * 250_000, "<svg>" * 200_000, "</p " * 250_000, "<p>x" * 20_000, "x" * 1_000_000])
+def test_long_pages_take_linear_time(page):
+    begun = time.process_time()
+    extract.main_text(page)
+    assert time.process_time() - begun < 4
+
+
+ARTICLE = ["A heading of this page", "The first paragraph is long enough to speak for itself, as it has many words and a full stop.", "Short.", "The second long paragraph follows after a short one, and it too has many words and a full stop.", "No stop"]
+
+
+@pytest.mark.parametrize("around", [("<article>", "</article>"), ('<div class="entry">', "</div>"), ("<div>", "</div>"), ("<main><section>", "</section></main>"), ("", "")])
+def test_cut_corrects_the_classifier(around):
+    """Short lines of the text stay and long ones in furniture go, with or without an article element."""
+    text = f"<h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{p}</p>" for p in ARTICLE[1:])
+    long = "A long sentence that has nothing of furniture in itself, for it is as long and as full as others."
+    page = f"""<body><nav><ul><li><a href=x>Home</a><li><a href=y>About us</a></ul></nav><div class="ad"><p>{long}</p></div>{around[0]}{text}{around[1]}
+    <section id="comments"><article><p>{long}</p><p>{long} {long}</p></article></section><footer><p>{long}</p></footer></body>"""
+    found = extract.labelled(page)
+    assert [t for t, keep, _ in found if keep] == ARTICLE
+    alone = {t for t, keep, cost in found if (cost >= 0) != keep}
+    assert {long, "Short.", "No stop"} <= alone  # what the classifier gets wrong by itself
+
+
+def test_form_around_the_page():
+    page = f"<form><article><p>{ARTICLE[1]}</p></article></form><form><p>{ARTICLE[3]}</p></form>"
+    assert extract.main_text(page) == ARTICLE[1]
+
+
 def test_page_tables(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None), (2, "u", "", "old"), (None, "u", "<p>x", "t")], "page_id bigint, url string, html string, text string")
     got = extract.extract(df)
@@ -238,6 +297,31 @@ def test_chat_tables(spark):
     assert chat.read_back(made[0].formatted) == [("user", "q"), ("assistant", "a")] and made[1].formatted == ""
 
 
+def test_odd_records_do_not_stop_a_job(spark):
+    good = '{"messages": [{"role": "user", "content": "q"}]'
+    records = [good + "}", '{"messages": []}', good + ', "extra": null}', good + ', "extra": 5}', "{broken", "[" * 100_000, "3", '{"prompt": "q", "response": "a", "system": null}', '{"prompt": null, "response": null}']
+    rows = chat.format_json(spark.createDataFrame(list(enumerate(records)), "id int, j string"), "id", "j").orderBy("conv_id").collect()
+    turns = [None if r.formatted is None else chat.read_back(r.formatted) for r in rows]
+    assert turns[:3] == [[("user", "q")], [], [("user", "q")]] and turns[7:] == [[("user", "q"), ("assistant", "a")], [("user", ""), ("assistant", "")]]
+    assert turns[3:7] == [None] * 4 and all((r.error is None) == (r.formatted is not None) for r in rows) and "extra" in rows[3].error
+
+
+def test_a_table_selects_its_layout_by_its_schema(spark):
+    wanted = [("user", "q"), ("assistant", "a")]
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    tables = [
+        (spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), None),
+        (spark.createDataFrame(rows, "conversation_id bigint, message_index int, role string, content string"), None),
+        (spark.createDataFrame([(1, "q", "a")], "id int, prompt string, response string"), "id"),
+        (spark.createDataFrame([(1, [("human", "q"), ("gpt", "a")])], "id int, conversations array<struct<from:string,value:string>>"), "id"),
+        (spark.createDataFrame([(1, ("q", "a"))], "id int, data struct<prompt:string,response:string>"), "id"),
+    ]
+    for table, key in tables:
+        assert [chat.read_back(r.formatted) for r in chat.format_table(table, key).collect()] == [wanted]
+    with pytest.raises(chat.UnknownLayout, match="strange"):
+        chat.format_table(spark.createDataFrame([(1, 2)], "id int, strange int"), "id")
+
+
 def test_pages_of_the_test_tables(spark):
     path = "/root/testdata/sf0.001/pages.parquet"
     import os
