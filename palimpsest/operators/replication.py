@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -20,6 +23,18 @@ def wait_for(acks: DataFrame, index: int, replicas: int) -> DataFrame:
     return peers.agg(n.alias("n_acks"), (n >= replicas).alias("ok"))
 
 
+def await_replicas(acks: Callable[[], DataFrame], index: int, replicas: int, timeout: float = 5.0, pause: float = 0.05) -> int:
+    """Ask acks() until so many peers have reached the index; how many have. Raises TimeoutError."""
+    end = time.monotonic() + timeout
+    while True:
+        found = wait_for(acks(), index, replicas).first()
+        if found.ok:
+            return found.n_acks
+        if time.monotonic() >= end:
+            raise TimeoutError(f"{found.n_acks} of {replicas} replicas reached {index}")
+        time.sleep(pause)
+
+
 def commit_index(acks: DataFrame, current_term: int | None = None, log: DataFrame | None = None) -> DataFrame:
     """majority_index (greatest index that a majority of peers reached) and all_index (least match). With a log, the majority
     index counts only when its entry is of the current term."""

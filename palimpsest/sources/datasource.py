@@ -44,9 +44,7 @@ class _Reader(DataSourceReader):
         out = []
         for s in m.segments:
             if s.covers(self._bound("start"), self._bound("end")) and (ts is None or s.min_ts <= ts):
-                for x in files.get_file_info(pafs.FileSelector(f"{root}/data/{s.name}")):
-                    if x.path.endswith(".parquet"):
-                        out.append(_File(x.path, s.ts))
+                out.append(_File(f"{root}/data/{s.name}", s.ts))
         return out or [_File("", None)]
 
     def read(self, partition: _File) -> Iterator:

@@ -104,6 +104,97 @@ def test_compaction_starts_by_itself(spark, tmp_path):
     assert [x.level for x in s.manifest().segments] == [1] and len(rows(s.scan())) == 3
 
 
+def test_vacuum_spares_what_is_staged(store):
+    store.put(b"a", b"1")
+    staged = store.stage(store._rows([("PUT", b"b", b"2")]))
+    assert store.vacuum() == []
+    store.publish(staged)
+    assert rows(store.scan()) == [(b"a", b"1"), (b"b", b"2")]
+    dead = store.stage(store._rows([("PUT", b"c", b"3")]))
+    assert store.vacuum(staged_seconds=0) == [dead.run]
+    with pytest.raises(FileNotFoundError):
+        store.publish(dead)
+    assert rows(store.scan()) == [(b"a", b"1"), (b"b", b"2")] and store.vacuum(staged_seconds=0) == []
+
+
+def test_failed_compaction_leaves_the_commit(spark, tmp_path, monkeypatch):
+    s = Store.create(spark, f"file://{tmp_path}/failing", l0_trigger=2, target_partitions=1)
+    s.put(b"a", b"1")
+    monkeypatch.setattr(s, "compact", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.warns(RuntimeWarning, match="disk"):
+        assert s.put(b"b", b"2") == 2
+    assert s.get(b"b") == b"2"
+
+
+def test_level_one_files_are_cut_by_size_and_rewritten_where_they_overlap(spark, tmp_path):
+    s = Store.create(spark, f"file://{tmp_path}/sized", "bigint", "string", l0_trigger=100, target_partitions=4, target_bytes=4096)
+    rng = random.Random(1)
+    s.write(spark.createDataFrame([(k, "PUT", str(rng.random())) for k in range(3000)], "key bigint, op string, value string"))
+    s.compact()
+    before = s.manifest().segments
+    assert len(before) > 4 and all(a.max_key < b.min_key for a, b in zip(sorted(before, key=lambda x: x.min_key), sorted(before, key=lambda x: x.min_key)[1:]))
+    s.write_rows([("PUT", 5, "low"), ("PUT", 6, "low")])
+    s.write_rows([("PUT", 2990, "high")])
+    s.compact()
+    after = s.manifest().segments
+    kept = {x.name for x in before} & {x.name for x in after}
+    assert len(kept) >= len(before) - 3 and all(x.level == 1 for x in after)
+    order = sorted(after, key=lambda x: x.min_key)
+    assert all(a.max_key < b.min_key for a, b in zip(order, order[1:]))  # also none spans a file that stayed
+    got = {r.key: r.value for r in s.snapshot().collect()}
+    assert len(got) == 3000 and (got[5], got[6], got[2990]) == ("low", "low", "high")
+    gone = s.vacuum()
+    assert gone and {r.key: r.value for r in s.snapshot().collect()} == got
+
+
+def test_small_batches_are_one_file(store):
+    store.put(b"a", b"1")
+    assert len(store.manifest().segments) == 1
+    plan = store.log()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+
+
+def test_writers_wait_while_many_batches_are_unmerged(spark, tmp_path):
+    s = Store.create(spark, f"file://{tmp_path}/stop", l0_trigger=100, l0_stop=3, target_partitions=1)
+    for i in range(7):
+        s.put(b"k%d" % i, b"v")
+        assert len([x for x in s.manifest().segments if x.level == 0]) <= 3
+    assert s.scan().count() == 7
+
+
+def test_writes_wait_for_replicas(spark, store):
+    batch = store._rows([("PUT", b"a", b"1")])
+    acks = lambda *at: lambda: spark.createDataFrame(list(enumerate(at)), "peer_id int, match_index bigint")
+    assert store.write(batch, replicas=2, acks=acks(1, 1, 0)) == 1
+    with pytest.raises(TimeoutError):
+        store.write(batch, replicas=2, acks=acks(2, 1, 0), timeout=0.1)
+    assert store.manifest().last_ts == 2
+
+
+def test_export_and_restore(spark, store, tmp_path):
+    store.write_rows([("PUT", b"a", b"1"), ("PUT", b"b", b"2")])
+    store.delete(b"a")
+    store.export(f"file://{tmp_path}/out")
+    again = Store.restore(spark, f"file://{tmp_path}/again", f"file://{tmp_path}/out")
+    assert rows(again.scan()) == [(b"b", b"2")] and again.put(b"c", b"3") == store.manifest().last_ts + 1
+
+
+def test_tables_in_transactions(spark, store):
+    table = lambda n, v: spark.createDataFrame([(b"k%d" % i, "PUT", v) for i in range(n)], "key binary, op string, value binary")
+    one, two, three = store.begin(), store.begin(), store.begin()
+    one.put(b"k1", b"first")
+    one.write(table(3, b"x"))
+    one.delete(b"k2")
+    assert one.get(b"k1") == b"x" and one.get(b"k2") is None and one.scan().count() == 2
+    two.write(table(2, b"y"))
+    three.write(spark.createDataFrame([(b"other", "PUT", b"z")], table(0, b"").schema))
+    one.commit()
+    with pytest.raises(ConflictError):
+        two.commit()
+    three.commit()
+    assert rows(store.scan()) == [(b"k0", b"x"), (b"k1", b"x"), (b"other", b"z")]
+
+
 def test_manifest_is_created_once(store):
     store.put(b"a", b"1")
     with pytest.raises(AlreadyThere):
