@@ -41,11 +41,12 @@ def units(text: Column, ends: str = ".") -> Column:
 
 
 def _least(chars: int, at: str, way: int = 1) -> str:
-    """Lines of the least run of that many characters from line `at` on (way 1) or up to it (-1); null where the text ends before. A
-    line has one character at least."""
-    sums = [" + ".join(f"get(lens, {at} - 1 {way * j:+d})" for j in range(k)) for k in range(1, 5)]
-    quick = " ".join(f"when {s} >= {chars} then {k}" for k, s in enumerate(sums, 1))
-    rest = f"slice(lens, {at}, {chars})" if way > 0 else f"reverse(slice(lens, greatest(1, {at} - {chars - 1}), least({at}, {chars})))"
+    """Lines of the least run of that many characters from line `at` (counted from 0) on (way 1) or up to it (-1); null where the text
+    ends before. A line has one character at least."""
+    # a few lines nearly always will do, and are added up much quicker than a list is folded
+    gets = [f"get(lens, {at}{f' {way * j:+d}' if j else ''})" for j in range(10)]
+    quick = " ".join(f"when {' + '.join(gets[:k])} >= {chars} then {k}" for k in range(1, 11))
+    rest = f"slice(lens, {at} + 1, {chars})" if way > 0 else f"reverse(slice(lens, greatest(1, {at} - {chars - 2}), least({at} + 1, {chars})))"
     return f"""case {quick} else aggregate({rest}, struct(0 as k, 0 as s),
         (a, x) -> if(a.s >= {chars}, a, struct(a.k + 1 as k, a.s + x as s)), a -> if(a.s >= {chars}, a.k, null)) end"""
 
@@ -55,15 +56,16 @@ def line_table(docs: DataFrame, doc: Column, text_col: str, ends: str, min_chars
     gram = max(1, min_chars // 3)
     cut = docs.select(doc.alias("doc"), units(F.col(f"`{text_col}`"), ends).alias("u"))
     # what follows the last line's end is no line
-    cut = cut.select("doc", F.expr("if(element_at(u, -1) = '', slice(u, 1, size(u) - 1), u)").alias("u")).where(F.size("u") > 0)
+    cut = cut.select("doc", F.expr("if(element_at(u, -1) = '', slice(u, 1, size(u) - 1), u)").alias("u"))
     cut = cut.select("doc", F.transform("u", lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("u"))
     table = cut.select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("hs"), F.transform("u", lambda x: F.length(x) + 1).alias("lens"))
-    table = table.withColumn("ks", F.expr(f"array_compact(transform(sequence(1, size(lens)), i -> {_least(gram, 'i')}))"))
-    table = table.withColumn("gs", F.expr("transform(ks, (k, i) -> xxhash64(slice(hs, i + 1, k)))"))
+    table = table.withColumn("ks", F.expr(f"array_compact(transform(lens, (x, j) -> {_least(gram, 'j')}))"))
+    table = table.withColumn("gs", F.expr("transform(ks, (k, i) -> if(k = 1, xxhash64(hs[i]), xxhash64(slice(hs, i + 1, k))))"))
     # windows hold lines with a gram only; a text without a whole window is shorter than min_chars
-    window = _least(max(1, min_chars - gram), "i")
-    picks = f"""array_distinct(filter(transform(transform(sequence(1, size(lens)), i -> struct(i as i, {window} as w)), x ->
-        if(x.w is not null and x.i + x.w - 1 <= size(gs), int(x.i - 1 + array_position(slice(gs, x.i, x.w), array_min(slice(gs, x.i, x.w)))), null)), x -> x is not null))"""
+    chars = max(1, min_chars - gram)
+    inner = "if(j + w <= size(gs), transform(array(slice(gs, j + 1, w)), y -> int(j + array_position(y, array_min(y))))[0], null)"
+    picks = f"""array_distinct(array_compact(transform(gs, (g, j) -> if(lens[j] >= {chars}, j + 1,
+        transform(array({_least(chars, 'j')}), w -> {inner})[0]))))"""
     table = table.withColumn("at", F.expr(picks))
     return table.select("doc", "hs", "lens", F.expr("transform(at, i -> struct(gs[i - 1] as h, i as i, ks[i - 1] as k))").alias("prints"))
 
@@ -81,15 +83,15 @@ def extended(table: DataFrame, min_chars: int) -> DataFrame:
     prints = table.select("doc", F.explode("prints").alias("p")).select("doc", "p.*")
     hits, shared = met_again(prints, "h", F.struct("doc", "i"), "lines-shared")
     met = table.select("doc", "hs", "lens").join(hits.groupBy("doc").agg(F.collect_list(F.struct("i", "k")).alias("hits")), "doc")
-    # runs around (i, k) that begin at p <= i and cannot be shorter, or end at q >= i + k - 1
-    left, right = _least(min_chars, "(x.i - 1)", -1), _least(min_chars, "(x.i + x.k)")
-    near = f"transform(sequence(x.i - coalesce({left}, x.i) + 1, x.i), p -> struct(p as start, {_least(min_chars, 'p')} as n))"
-    to = f"transform(sequence(x.i + x.k - 1, x.i + x.k - 2 + coalesce({right}, size(lens) - x.i - x.k + 2)), q -> struct(q as q, {_least(min_chars, 'q', -1)} as n))"
-    runs = f"concat({near}, transform({to}, y -> struct(y.q - y.n + 1 as start, y.n as n)))"
-    # one number a run, so that those that several fingerprints extend to are left once
-    held = f"transform(filter({runs}, r -> r.n is not null and r.start <= x.i and r.start + r.n >= x.i + x.k), r -> r.start * {min_chars + 1}L + r.n)"
-    met = met.withColumn("runs", F.expr(f"array_distinct(flatten(transform(hits, x -> {held})))"))
-    keyed = f"transform(transform(runs, r -> struct(int(r div {min_chars + 1}) as start, int(r % {min_chars + 1}) as n)), r -> struct(xxhash64(slice(hs, r.start, r.n)) as key, r.start as start, r.n as n))"
+    # lines of the least run from each line on, and up to each
+    met = met.withColumn("ns", F.expr(f"transform(lens, (x, j) -> {_least(min_chars, 'j')})")).withColumn("ne", F.expr(f"transform(lens, (x, j) -> {_least(min_chars, 'j', -1)})"))
+    # runs around (i, k) begin at p <= i, but not before a whole run that ends before i, or end at q >= i + k - 1 likewise; one number
+    # a run, so that those that several fingerprints extend to are left once
+    begin = f"transform(sequence(x.i - coalesce(get(ne, x.i - 2), x.i) + 1, x.i), p -> if(p + ns[p - 1] >= x.i + x.k, {min_chars + 1}L * p + ns[p - 1], null))"
+    end = f"transform(sequence(x.i + x.k - 1, x.i + x.k - 2 + coalesce(get(ns, x.i + x.k - 1), size(lens) - x.i - x.k + 2)), q -> if(q - ne[q - 1] < x.i, {min_chars + 1}L * (q - ne[q - 1] + 1) + ne[q - 1], null))"
+    alone = "ns[x.i - 1] = 1 and coalesce(get(ne, x.i - 2) = 1, x.i = 1) and coalesce(get(ns, x.i) = 1, x.i = size(lens))"  # long lines on both sides
+    met = met.withColumn("runs", F.expr(f"array_distinct(array_compact(flatten(transform(hits, x -> if({alone}, array({min_chars + 1}L * x.i + 1), concat({begin}, {end}))))))"))
+    keyed = f"transform(transform(runs, r -> struct(int(r div {min_chars + 1}) as start, int(r % {min_chars + 1}) as n)), r -> struct(if(r.n = 1, xxhash64(hs[r.start - 1]), xxhash64(slice(hs, r.start, r.n))) as key, r.start as start, r.n as n))"
     found = materialise(met.select("doc", F.explode(F.expr(keyed)).alias("r")).select("r.key", "doc", "r.start", "r.n"), "lines-runs")
     discard(shared)
     return found
