@@ -101,7 +101,8 @@ def _groups(src: DataFrame, file: str, row: str, id_col: str, text_col: str, dig
     mixed, split = None, 0
     if some:
         norm = normalise(text).alias("norm")
-        read_again = src.select(F.xxhash64(F.col(file)).alias("f"), *at, norm).join(hits, ["f", "file", "row"])
+        # by shuffle at every size: hits grow with the corpus, so broadcasting them would only serve small ones
+        read_again = src.select(F.xxhash64(F.col(file)).alias("f"), *at, norm).join(hits.hint("merge"), ["f", "file", "row"])
         texts = materialise(read_again.select("digest", "kept", "norm"), "exact-texts")
         held = texts.where("kept").select("digest", F.col("norm").alias("kept_norm"))
         mixed, split = counted(texts.where("not kept").join(held, "digest").where("norm <> kept_norm").select("digest").distinct(), "exact-mixed")
