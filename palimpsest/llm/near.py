@@ -155,8 +155,9 @@ def candidate_pairs(lists: DataFrame, threshold: float) -> DataFrame:
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, members): the full shingle sets of the named documents, read from their texts again."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
+    """(id, members): the full shingle sets of the named documents, read from their texts again (by shuffle at every size, for the
+    documents named grow with the corpus)."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids.hint("merge"), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
