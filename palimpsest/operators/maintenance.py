@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions.codec import record_crc, shared_prefix
 from palimpsest.model import DELETE, STANDARD, Columns
+from palimpsest.operators import read
+from palimpsest.sources.workspace import workspace
 
 
 def cut_by_size(df: DataFrame, order: list[str], size: Column, limit: int, within: list[str] | None = None, out: str = "block") -> DataFrame:
@@ -18,12 +20,17 @@ def cut_by_size(df: DataFrame, order: list[str], size: Column, limit: int, withi
         w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.floor((F.sum(size).over(w) - size) / limit).cast("bigint"))
     spark = df.sparkSession
-    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__part", F.spark_partition_id())
+    # the ranges are sampled alike each time, but a table written once doesn't depend on that, nor on the memory of executors
+    path = workspace(spark, "ranges")
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
     totals = sorted((r["__part"], r["t"] or 0) for r in dealt.groupBy("__part").agg(F.sum(size).alias("t")).collect())
     bases, at = [], 0
     for part, total in totals:
         bases.append((part, at))
         at += total
+    # one row a range, of which there are as many as shuffle partitions
     start = F.broadcast(spark.createDataFrame(bases or [(0, 0)], "__part int, __base bigint"))
     w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return dealt.join(start, "__part").withColumn(out, F.floor((F.col("__base") + F.sum(size).over(w) - size) / limit).cast("bigint")).drop("__part", "__base")
@@ -56,8 +63,7 @@ def overlapping(files: DataFrame, intervals: DataFrame) -> DataFrame:
 def collect_versions(log: DataFrame, watermark: int, c: Columns = STANDARD) -> DataFrame:
     """Versions that a read at or after the watermark may need: all newer ones, and the newest at the watermark if live."""
     newer = log.where(F.col(c.ts) > watermark)
-    others = [x for x in log.columns if x != c.key]
-    at = log.where(F.col(c.ts) <= watermark).groupBy(c.key).agg(F.max_by(F.struct(*others), F.struct(c.ts, *[x for x in ("op_seq",) if x in log.columns])).alias("__v")).select(c.key, "__v.*")
+    at = read.newest(log, watermark, c)
     return newer.unionByName(at.where(F.col(c.op) != DELETE).select(*log.columns))
 
 

@@ -116,3 +116,23 @@ def test_key_range_reaches_the_scan(spark, tmp_path):
     df = read.scan(spark.read.parquet(f"{tmp_path}/log"), "k3", "k7", read_ts=5)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key,k3)" in plan and "LessThan(key,k7)" in plan and "LessThanOrEqual(commit_ts,5)" in plan
+
+
+def test_fixed_width_versions_are_hashed_not_sorted(spark):
+    log = spark.createDataFrame([(k, t, "DELETE" if t % 3 == 0 else "PUT", None if t % 3 == 0 else t / 2, s) for k in range(5) for t in range(k, 9) for s in (0, 1)], "key bigint, commit_ts bigint, op string, value double, op_seq int")
+    for df in (log, log.drop("op_seq")):
+        found = read.newest(df, 7)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+        assert {(r.key, r.commit_ts, r.op, r.value) for r in found.collect()} == {(k, 7, "PUT", 3.5) for k in range(5)}
+    plain = read.newest(log.withColumn("value", F.col("value").cast("string")), 6)
+    assert {(r.key, r.commit_ts, r.op, r.value, r.op_seq) for r in plain.collect()} == {(k, 6, "DELETE", None, 1) for k in range(5)}
+    merged = read.merge_newest_wins([log.where("commit_ts < 5").drop("op_seq"), log.drop("op_seq")])
+    assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert {(r.key, r.commit_ts) for r in merged.collect()} == {(k, 4) for k in range(5)}
+
+
+def test_order_of_two_numbers_keeps_extremes(spark):
+    rows = [("a", t, "PUT", 1.0 * i, s) for i, (t, s) in enumerate([(-(2**62), 2**31 - 1), (2**62, -(2**31)), (2**62, 5), (2**62, -7), (0, 0)])]
+    log = spark.createDataFrame(rows, "key string, commit_ts bigint, op string, value double, op_seq int")
+    assert [(r.commit_ts, r.op_seq) for r in read.newest(log).collect()] == [(2**62, 5)]

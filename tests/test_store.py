@@ -299,6 +299,30 @@ def test_data_source_reads_as_of(spark, store):
     assert [(bytes(r.key), r.commit_ts, bytes(r.value)) for r in old.collect()] == [(b"b", 1, b"2")]
 
 
+def test_data_source_reads_what_is_asked_for(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from palimpsest.sources import datasource
+
+    s = Store.create(spark, f"file://{tmp_path}/pushed", "string", "string", l0_trigger=100, target_partitions=2, target_bytes=20_000)
+    s.write(spark.createDataFrame([(f"k{i:05d}", "PUT", str(i * 7919)) for i in range(4000)], "key string, op string, value string"))
+    s.compact()
+    s.put("k00001", "new")
+    assert len(s.manifest().segments) > 3
+    spark.dataSource.register(datasource.StoreSource)
+    load = lambda **o: spark.read.format("palimpsest").options(path=f"{tmp_path}/pushed", **o).load()
+    assert load().count() == 4001 and load(start="k01000", end="k01010").count() == 10
+    for o in ({}, {"pushdown": "true"}):
+        if o:
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        some = load(**o).where((F.col("key") >= "k00001") & (F.col("key") < "k00003")).select("value")
+        assert sorted(r.value for r in some.collect()) == sorted(["7919", "new", str(2 * 7919)])
+        assert load(**o).where("commit_ts > 1").count() == 1 and load(**o).where("commit_ts = 1 and key = 'k00001'").first().value == "7919"
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    reader = datasource._Reader({"path": f"{tmp_path}/pushed", "key_kind": "string", "start": "k03990"}, load().schema)
+    assert len(reader.partitions()) == 1 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 10
+
+
 def test_view(spark, store):
     store.put(b"a", b"1")
     store.create_view("kv")
