@@ -43,31 +43,34 @@ def units(text: Column, ends: str = ".") -> Column:
 def _least(chars: int, at: str, way: int = 1) -> str:
     """Lines of the least run of that many characters from line `at` (counted from 0) on (way 1) or up to it (-1); null where the text
     ends before. A line has one character at least."""
-    # a few lines nearly always will do, and are added up much quicker than a list is folded
-    gets = [f"get(lens, {at}{f' {way * j:+d}' if j else ''})" for j in range(10)]
-    quick = " ".join(f"when {' + '.join(gets[:k])} >= {chars} then {k}" for k in range(1, 11))
+    # a few lines nearly always will do, and are added up much quicker than a list is folded: four at a time, on what the last four gave
+    get = lambda j: f"get(lens, {at}{f' {way * j:+d}' if j else ''})"
     rest = f"slice(lens, {at} + 1, {chars})" if way > 0 else f"reverse(slice(lens, greatest(1, {at} - {chars - 2}), least({at} + 1, {chars})))"
-    return f"""case {quick} else aggregate({rest}, struct(0 as k, 0 as s),
-        (a, x) -> if(a.s >= {chars}, a, struct(a.k + 1 as k, a.s + x as s)), a -> if(a.s >= {chars}, a.k, null)) end"""
+    found = f"aggregate({rest}, struct(0 as k, 0 as s), (a, x) -> if(a.s >= {chars}, a, struct(a.k + 1 as k, a.s + x as s)), a -> if(a.s >= {chars}, a.k, null))"
+    for base in (8, 4, 0):
+        sums = [" + ".join([*(["s"] if base else []), *map(get, range(base, k))]) for k in range(base + 1, base + 5)]
+        quick = " ".join(f"when {x} >= {chars} then {k}" for k, x in enumerate(sums, base + 1))
+        found = f"case {quick} when isnull({sums[-1]}) then null else transform(array({sums[-1]}), s -> {found})[0] end"
+    return found
 
 
 def line_table(docs: DataFrame, doc: Column, text_col: str, ends: str, min_chars: int) -> DataFrame:
-    """Per text its key, line hashes and lengths, and the fingerprints (hash, line from 1 on, lines of the gram)."""
+    """Per text its key, line hashes and lengths, and the fingerprints (hash, line from 1 on)."""
     gram = max(1, min_chars // 3)
     cut = docs.select(doc.alias("doc"), units(F.col(f"`{text_col}`"), ends).alias("u"))
     # what follows the last line's end is no line
     cut = cut.select("doc", F.expr("if(element_at(u, -1) = '', slice(u, 1, size(u) - 1), u)").alias("u"))
     cut = cut.select("doc", F.transform("u", lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("u"))
     table = cut.select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("hs"), F.transform("u", lambda x: F.length(x) + 1).alias("lens"))
-    table = table.withColumn("ks", F.expr(f"array_compact(transform(lens, (x, j) -> {_least(gram, 'j')}))"))
-    table = table.withColumn("gs", F.expr("transform(ks, (k, i) -> if(k = 1, xxhash64(hs[i]), xxhash64(slice(hs, i + 1, k))))"))
+    short = f"transform(array({_least(gram, 'j')}), k -> if(k is null, null, xxhash64(slice(hs, j + 1, k))))[0]"
+    table = table.withColumn("gs", F.expr(f"array_compact(transform(lens, (x, j) -> if(x >= {gram}, xxhash64(hs[j]), {short})))"))
     # windows hold lines with a gram only; a text without a whole window is shorter than min_chars
     chars = max(1, min_chars - gram)
     inner = "if(j + w <= size(gs), transform(array(slice(gs, j + 1, w)), y -> int(j + array_position(y, array_min(y))))[0], null)"
     picks = f"""array_distinct(array_compact(transform(gs, (g, j) -> if(lens[j] >= {chars}, j + 1,
         transform(array({_least(chars, 'j')}), w -> {inner})[0]))))"""
     table = table.withColumn("at", F.expr(picks))
-    return table.select("doc", "hs", "lens", F.expr("transform(at, i -> struct(gs[i - 1] as h, i as i, ks[i - 1] as k))").alias("prints"))
+    return table.select("doc", "hs", "lens", F.expr("transform(at, i -> struct(gs[i - 1] as h, i as i))").alias("prints"))
 
 
 def met_again(rows: DataFrame, key: str, place: Column, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -79,20 +82,32 @@ def met_again(rows: DataFrame, key: str, place: Column, tag: str) -> tuple[DataF
 
 
 def extended(table: DataFrame, min_chars: int) -> DataFrame:
-    """(key, doc, start, n) of the least runs of min_chars around the fingerprints that stand twice, written."""
+    """(key, doc, start, n) of the least runs of min_chars around the fingerprints that stand twice, written. Of a text that holds a run
+    several times only the first is listed; what the others cover is merged to stretches with a null key."""
     prints = table.select("doc", F.explode("prints").alias("p")).select("doc", "p.*")
     hits, shared = met_again(prints, "h", F.struct("doc", "i"), "lines-shared")
-    met = table.select("doc", "hs", "lens").join(hits.groupBy("doc").agg(F.collect_list(F.struct("i", "k")).alias("hits")), "doc")
+    met = table.select("doc", "hs", "lens").join(hits.groupBy("doc").agg(F.collect_list("i").alias("hits")), "doc")
     # lines of the least run from each line on, and up to each
     met = met.withColumn("ns", F.expr(f"transform(lens, (x, j) -> {_least(min_chars, 'j')})")).withColumn("ne", F.expr(f"transform(lens, (x, j) -> {_least(min_chars, 'j', -1)})"))
-    # runs around (i, k) begin at p <= i, but not before a whole run that ends before i, or end at q >= i + k - 1 likewise; one number
-    # a run, so that those that several fingerprints extend to are left once
-    begin = f"transform(sequence(x.i - coalesce(get(ne, x.i - 2), x.i) + 1, x.i), p -> if(p + ns[p - 1] >= x.i + x.k, {min_chars + 1}L * p + ns[p - 1], null))"
-    end = f"transform(sequence(x.i + x.k - 1, x.i + x.k - 2 + coalesce(get(ns, x.i + x.k - 1), size(lens) - x.i - x.k + 2)), q -> if(q - ne[q - 1] < x.i, {min_chars + 1}L * (q - ne[q - 1] + 1) + ne[q - 1], null))"
-    alone = "ns[x.i - 1] = 1 and coalesce(get(ne, x.i - 2) = 1, x.i = 1) and coalesce(get(ns, x.i) = 1, x.i = size(lens))"  # long lines on both sides
-    met = met.withColumn("runs", F.expr(f"array_distinct(array_compact(flatten(transform(hits, x -> if({alone}, array({min_chars + 1}L * x.i + 1), concat({begin}, {end}))))))"))
-    keyed = f"transform(transform(runs, r -> struct(int(r div {min_chars + 1}) as start, int(r % {min_chars + 1}) as n)), r -> struct(if(r.n = 1, xxhash64(hs[r.start - 1]), xxhash64(slice(hs, r.start, r.n))) as key, r.start as start, r.n as n))"
-    found = materialise(met.select("doc", F.explode(F.expr(keyed)).alias("r")).select("r.key", "doc", "r.start", "r.n"), "lines-runs")
+    # runs with line i begin at p <= i, but not before a whole run that ends before i, or end at q >= i likewise; one number a run, so
+    # that those that several fingerprints extend to are left once
+    one = min_chars + 1
+    alone = "ns[i - 1] = 1 and coalesce(get(ne, i - 2) = 1, i = 1) and coalesce(get(ns, i) = 1, i = size(lens))"  # long lines on both sides
+    begin = f"transform(sequence(i - coalesce(get(ne, i - 2), i) + 1, i), p -> if(p + ns[p - 1] > i, {one}L * p + ns[p - 1], null))"
+    end = f"transform(sequence(i, i - 1 + coalesce(get(ns, i), size(lens) - i + 1)), q -> if(q - ne[q - 1] < i, {one}L * (q - ne[q - 1] + 1) + ne[q - 1], null))"
+    met = met.withColumn("runs", F.expr(f"array_distinct(array_compact(flatten(transform(hits, i -> if({alone}, array({one}L * i + 1), concat({begin}, {end}))))))"))
+    key = "if(r.n = 1, xxhash64(hs[r.start - 1]), xxhash64(slice(hs, r.start, r.n)))"
+    met = met.withColumn("runs", F.expr(f"sort_array(transform(transform(runs, r -> struct(int(r div {one}) as start, int(r % {one}) as n)), r -> struct({key} as key, r.start as start, r.n as n)))"))
+    met = met.withColumn("first", F.expr("filter(runs, (r, j) -> j = 0 or runs[j - 1].key <> r.key)"))
+    again = "sort_array(transform(filter(runs, (r, j) -> j > 0 and runs[j - 1].key = r.key), r -> struct(r.start as start, r.start + r.n as stop)))"
+    kind = "array<struct<key:bigint,start:int,n:int>>"
+    merged = f"""aggregate({again}, struct(0 as start, 0 as stop, cast(array() as {kind}) as done), (a, x) ->
+        if(x.start <= a.stop, struct(a.start as start, greatest(a.stop, x.stop) as stop, a.done as done),
+           struct(x.start as start, x.stop as stop, if(a.stop = 0, a.done, concat(a.done, array(struct(cast(null as bigint) as key, a.start as start, a.stop - a.start as n)))) as done)),
+        a -> if(a.stop = 0, a.done, concat(a.done, array(struct(cast(null as bigint) as key, a.start as start, a.stop - a.start as n)))))"""
+    met = met.withColumn("again", F.when(F.size("first") < F.size("runs"), F.expr(merged)))
+    rows = met.select("doc", F.explode(F.expr("if(again is null, first, concat(first, again))")).alias("r"))
+    found = materialise(rows.select("r.key", "doc", "r.start", "r.n"), "lines-runs")
     discard(shared)
     return found
 
@@ -103,8 +118,9 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     doc = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(file)).alias("f"), F.col(row).alias("r"))
     table = materialise(line_table(src, doc, text_col, ends, min_chars), "lines-table")
     found = extended(table, min_chars)
-    met, first = met_again(found, "key", F.struct("doc", "start"), "lines-first")
-    later = met.where("later").select("doc", "start", (F.col("start") + F.col("n") - 1).alias("stop"))
+    met, first = met_again(found.where("key is not null"), "key", F.struct("doc", "start"), "lines-first")
+    later = met.where("later").select("doc", "start", "n").unionByName(found.where("key is null").select("doc", "start", "n"))
+    later = later.select("doc", "start", (F.col("start") + F.col("n") - 1).alias("stop"))
     gone = later.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
     kept = F.expr(
         """aggregate(gone, named_struct('at', 1, 'runs', 0, 'kept', cast(array() as array<struct<start:int,n:int>>)), (a, x) -> named_struct(
