@@ -105,7 +105,9 @@ def _groups(src: DataFrame, file: str, row: str, id_col: str, text_col: str, dig
         read_again = src.select(F.xxhash64(F.col(file)).alias("f"), *at, norm).join(hits.hint("merge"), ["f", "file", "row"])
         texts = materialise(read_again.select("digest", "kept", "norm"), "exact-texts")
         held = texts.where("kept").select("digest", F.col("norm").alias("kept_norm"))
-        mixed, split = counted(texts.where("not kept").join(held, "digest").where("norm <> kept_norm").select("digest").distinct(), "exact-mixed")
+        # not made distinct here: a join alone lets a hot digest be split
+        mixed, split = counted(texts.where("not kept").join(held, "digest").where("norm <> kept_norm").select("digest"), "exact-mixed")
+        mixed = mixed.distinct()
         discard(hits, texts)
     if split:
         bytes_of = src.select(*at, normalise(text).alias("norm"))
