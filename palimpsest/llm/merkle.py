@@ -7,21 +7,23 @@ make a paragraph, and paragraphs up to one whose digest selects it make a sectio
 equality. The fingerprint also holds the tree's shape and a 32-bit tag of each leaf, so that two fingerprints
 alone tell which branches differ and how alike the texts are.
 
-Null text counts as empty. Empty tables give no rows. Rows with equal ids are ordered by text; a null id
-comes last in descending order.
+Null text counts as empty; texts of any length are read whole. Empty tables give no rows. Rows with equal ids, repeated
+ones too, are ordered by text; null ids come last in descending order. Ids are whole numbers or texts. Other columns pass
+through, and one called like a new one, in whatever case, is replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palimpsest.llm.shared import append_columns, small_batches
 
@@ -186,30 +188,44 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return tree(0, len(bounds))
 
 
+def _numbered(ids: DataFrame) -> Column:
+    """A bigint that grows with the id, not strictly: of numbers themselves, of texts the seven bytes after what all have in common."""
+    kind = ids.schema["id"].dataType
+    if not isinstance(kind, T.StringType):
+        return F.col("id").cast("bigint")
+    ends = ids.agg(F.min("id"), F.max("id")).first()
+    same = os.path.commonprefix([(x or "").encode() for x in ends])
+    part = F.hex(F.substring(F.encode("id", "utf-8"), F.lit(len(same) + 1), F.lit(7)))
+    return F.conv(F.rpad(part, 14, "0"), 16, 10).cast("bigint")
+
+
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """Rows dealt into ranges of ids and sorted descending, each range ended by a copy (`foreign`) of the row that follows it, the
-    last range by the very first row. One shuffle of the texts; what reaches the driver is one id a range."""
+    """Rows dealt into ranges of ids (numbers or texts) and sorted descending, null ids last, each range ended by a copy (`foreign`) of
+    the row that follows it, the last range by the very first row. One shuffle of the texts; what reaches the driver is one id a range."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    keys = src.select("key")
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    src = src.withColumn("key", F.coalesce(_numbered(src.select("id")), F.lit(-(2**63))))
+    keys = src.select("id", "key")
     marks = keys.approxQuantile("key", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []
     bounds = sorted({int(x) for x in marks})
-    tops = sorted((r.bucket, r.top) for r in keys.groupBy(_bucket(F.col("key"), bounds).alias("bucket")).agg(F.max("key").alias("top")).collect())
+    bucket = _bucket(F.col("key"), bounds)
+    tops = sorted((r.bucket, r.top) for r in keys.groupBy(bucket.alias("bucket")).agg(F.max("id").alias("top")).collect())
     # the top row of a range follows the range above it; the topmost row follows the lowest range
     above = {b: tops[(i + 1) % len(tops)][0] for i, (b, _) in enumerate(tops)}
-    bucket = _bucket(F.col("key"), bounds)
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("foreign"))
+    places = F.array(own)
     if tops:
         target = F.lit([above.get(b, 0) for b in range(len(bounds) + 1)])
         copy = F.struct(F.get(target, bucket).alias("bucket"), F.lit(True).alias("foreign"))
-        places = F.when(F.col("key").isin([t for _, t in tops]), F.array(own, copy)).otherwise(F.array(own))
-    else:
-        places = F.array(own)
-    placed = src.select("id", "key", "text", F.explode(places).alias("at")).select("at.*", "id", "key", "text")
+        leads = F.coalesce(F.col("id").isin([t for _, t in tops if t is not None]), F.lit(False))
+        if any(t is None for _, t in tops):  # a range of null ids only, the lowest one
+            leads = leads | F.col("id").isNull()
+        places = F.when(leads, F.array(own, copy)).otherwise(places)
+    placed = src.select("id", "text", F.explode(places).alias("at")).select("at.*", "id", "text")
     dealt = placed.repartitionById(len(bounds) + 1, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", "foreign", F.desc("key"), "text")
+    return dealt.sortWithinPartitions("bucket", "foreign", F.desc_nulls_last("id"), "text")
 
 
 def edited_query(docs: DataFrame) -> DataFrame:
@@ -229,7 +245,7 @@ def edited_query(docs: DataFrame) -> DataFrame:
         for b in batches:
             kinds = [b.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             out = []
-            for foreign, doc_id, text in zip(*(b.column(i).to_pylist() for i in (1, 2, 4))):
+            for foreign, doc_id, text in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 if foreign and held is None:
                     continue
                 data = text.encode()
