@@ -163,6 +163,52 @@ def test_edited_query(spark):
         assert abs(r.near_next - merkle.compare(r.fingerprint, merkle.fingerprint(u))) < 1e-9
 
 
+@pytest.mark.parametrize("ids", ["numbers", "texts", "mixed lengths"])
+def test_next_document_of_any_id(spark, ids):
+    name = {"numbers": lambda i: i * 3, "texts": lambda i: f"doc-{i:05d}", "mixed lengths": lambda i: "é" * (i % 4) + str(i * i)}[ids]
+    kind = "bigint" if ids == "numbers" else "string"
+    texts = {name(i): f"Text number {i} has some words.\n" * (1 + i % 3) for i in range(50)}
+    order = sorted(texts, reverse=True)
+    rows = [*texts.items(), (None, "no id")]
+    for buckets in (1, 7):
+        beside = merkle.beside_next(spark.createDataFrame(rows, f"doc_id {kind}, text string"), buckets=buckets).collect()
+        by_bucket = {}
+        for r in beside:
+            by_bucket.setdefault(r.bucket, []).append(r)
+        follows = {a.id: b.id for some in by_bucket.values() for a, b in zip(some, some[1:]) if not a.foreign}
+        assert follows == dict(zip([*order, None], [*order[1:], None, order[0]]))
+
+
+def test_likeness_by_brute_force():
+    """Leaves cut and compared by plain loops."""
+    space, mask = b" \t\n\x0b\f\r", (1 << 64) - 1
+
+    def leaves(text):
+        data, out, start = text.encode(), [], 0
+        for i, x in enumerate(data):
+            before = int.from_bytes((b"\0" * 8 + data)[i : i + 8], "little")
+            end = x == 10 or (x in space and (before * 0x9E3779B97F4A7C15 & mask) >> 63 == 0) or i == len(data) - 1
+            if end or i + 1 - start == merkle.LONGEST:
+                out.append(hashlib.blake2b(data[start : i + 1], digest_size=16).digest()[:4])
+                start = i + 1
+        return out
+
+    rng = random.Random(12)
+    for _ in range(300):
+        t, u = (" ".join(rng.choice(["alpha", "b", "\n", "gamma delta", "é", "x" * 300]) for _ in range(rng.randint(0, 40))) for _ in "tu")
+        u = rng.choice([u, t[: len(t) // 2] + u])
+        a, b = leaves(t), leaves(u)
+        assert merkle.parse(merkle.fingerprint(t)).leaves == a
+        if t != u:
+            left, same = list(b), 0
+            for x in a:
+                if x in left:
+                    left.remove(x)
+                    same += 1
+            want = 2 * same / (len(a) + len(b)) if a and b else 0.0
+            assert abs(merkle.compare(merkle.fingerprint(t), merkle.fingerprint(u)) - min(want, 0.999999)) < 1e-9
+
+
 def test_fingerprint_tables(spark):
     assert merkle.edited_query(edges(spark)).count() == len(EDGES)
     assert merkle.edited_query(edges(spark).limit(0)).count() == 0
