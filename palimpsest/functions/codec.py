@@ -90,6 +90,38 @@ def decode_command(data: Column) -> Column:
     )
 
 
+def _int32(x: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(x), 8, "0"))
+
+
+def encode_batch(ops: Column) -> Column:
+    """An array of struct(op, key, value) as bytes: type 2, their number, then of each its type, key and value with their lengths. A
+    missing value has length 0."""
+    one = lambda x: F.concat(F.when(x["op"] == "PUT", F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01"))), _int32(F.length(x["key"])), x["key"], _int32(F.coalesce(F.length(x["value"]), F.lit(0))), F.coalesce(x["value"], F.unhex(F.lit(""))))
+    # joined as text, for bytes have no array join
+    return F.concat(F.unhex(F.lit("02")), _int32(F.size(ops)), F.unhex(F.array_join(F.transform(ops, lambda x: F.hex(one(x))), "")))
+
+
+def decode_batch(data: Column) -> Column:
+    """The array of struct(op, key, value) of encode_batch's bytes; empty values of a DELETE are null."""
+    number = lambda at: F.conv(F.hex(F.substring(data, at, F.lit(4))), 16, 10).cast("int")
+    kind = "array<struct<op:string,key:binary,value:binary>>"
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        klen = number(at + 1)
+        vlen = number(at + 5 + klen)
+        put = F.substring(data, at, F.lit(1)) == F.unhex(F.lit("00"))
+        value = F.when(put, F.substring(data, at + 9 + klen, vlen))
+        one = F.struct(F.when(put, "PUT").otherwise("DELETE").alias("op"), F.substring(data, at + 5, klen).alias("key"), value.alias("value"))
+        return F.struct((at + 9 + klen + vlen).alias("at"), F.concat(state["ops"], F.array(one)).alias("ops"))
+
+    n = number(F.lit(2))
+    start = F.struct(F.lit(6).alias("at"), F.array().cast(kind).alias("ops"))
+    turns = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(turns, start, step)["ops"]
+
+
 def to_hex(data: Column) -> Column:
     return F.lower(F.hex(data))
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.operators import maintenance
+
 
 def acknowledged(indexes: DataFrame, acks: DataFrame, quorum: int) -> DataFrame:
     """Per log index: how many peers (peer_id, match_index) reached it, and whether that is a quorum."""
@@ -35,16 +37,42 @@ def await_replicas(acks: Callable[[], DataFrame], index: int, replicas: int, tim
         time.sleep(pause)
 
 
-def commit_index(acks: DataFrame, current_term: int | None = None, log: DataFrame | None = None) -> DataFrame:
-    """majority_index (greatest index that a majority of peers reached) and all_index (least match). With a log, the majority
-    index counts only when its entry is of the current term."""
+def commit_index(acks: DataFrame, current_term: int | DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
+    """majority_index (greatest index that a majority of peers reached) and all_index (least match). With a log, the majority index
+    counts only when its entry is of the current term; of a table of terms (current) each is asked."""
     peers = acks.groupBy("peer_id").agg(F.max("match_index").alias("m")).agg(F.sort_array(F.collect_list("m"), asc=False).alias("ms"))
     majority = F.get("ms", F.floor(F.size("ms") / 2).cast("int"))
     out = peers.select(majority.alias("majority_index"), F.array_min("ms").alias("all_index"))
     if current_term is None or log is None:
         return out
+    asked = out.crossJoin(F.broadcast(current_term)) if isinstance(current_term, DataFrame) else out.withColumn("current", F.lit(current_term))
     terms = log.select(F.col("log_index").alias("majority_index"), "term")
-    return out.join(terms, "majority_index", "left").withColumn("commits", F.coalesce(F.col("term") == current_term, F.lit(False)))
+    return asked.join(terms, "majority_index", "left").select("majority_index", "all_index", F.coalesce(F.col("term") == F.col("current"), F.lit(False)).alias("commits"))
+
+
+def elect(candidates: DataFrame, cluster: str, candidate: str, last_index: str) -> DataFrame:
+    """Per cluster the candidate whose log is furthest; of equals the lowest id."""
+    furthest = candidates.groupBy(cluster, candidate).agg(F.max(last_index).alias(last_index))
+    best = F.min_by(F.struct(candidate, last_index), F.struct(-F.col(last_index), F.col(candidate)))
+    return furthest.groupBy(cluster).agg(best.alias("b")).select(cluster, "b.*")
+
+
+def propose(log: DataFrame, entries: DataFrame, term: int, order: list[str]) -> DataFrame:
+    """entries with the log_index and term under which they are appended to the log, in the given order.
+
+    Places come from the totals of ranges, so no single task sees all entries.
+    """
+    placed = maintenance.cut_by_size(entries, order, F.lit(1), 1, out="place")
+    end = F.broadcast(log.agg(F.coalesce(F.max("log_index"), F.lit(-1)).alias("last")))  # one row
+    return placed.crossJoin(end).withColumn("log_index", F.col("last") + F.col("place") + 1).withColumn("term", F.lit(term)).drop("place", "last")
+
+
+def batches_to_peers(log: DataFrame, acks: DataFrame, batch: int = 64) -> DataFrame:
+    """Per peer the entries past its match index, in batches of so many indexes; a peer that rejects one is asked again from
+    its new match index."""
+    peers = F.broadcast(acks.groupBy("peer_id").agg(F.max("match_index").alias("match_index")))  # a row a peer
+    lacking = log.join(peers, F.col("log_index") > F.col("match_index"))
+    return lacking.select("peer_id", "log_index", F.floor((F.col("log_index") - F.col("match_index") - 1) / batch).alias("batch"))
 
 
 def vote_tally(votes: DataFrame, nodes: int) -> DataFrame:
@@ -96,10 +124,13 @@ def lease_gaps(beats: DataFrame, node: str, ts: str, timeout_seconds: int, tie:
     return out.withColumn("session", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("__s")
 
 
-def stale_nodes(beats: DataFrame, node: str, ts: str, now: Column, timeout_seconds: int) -> DataFrame:
-    """Nodes silent for longer than the timeout."""
+def stale_nodes(beats: DataFrame, node: str, ts: str, now: Column | None, timeout_seconds: int) -> DataFrame:
+    """Nodes silent for longer than the timeout; now is the latest heartbeat of all when not given."""
     last = beats.groupBy(node).agg(F.max(ts).alias("last_heartbeat"))
-    return last.where(F.timestamp_diff("MICROSECOND", F.col("last_heartbeat"), now) > timeout_seconds * 1_000_000)
+    if now is None:
+        last = last.crossJoin(F.broadcast(last.agg(F.max("last_heartbeat").alias("now"))))  # one row
+    silent = F.timestamp_diff("MICROSECOND", F.col("last_heartbeat"), F.col("now") if now is None else now)
+    return last.where(silent > timeout_seconds * 1_000_000).select(node, "last_heartbeat")
 
 
 def cluster_leader(beats: DataFrame, cluster: str, node: str, ts: str, leads: Column) -> DataFrame:

@@ -101,11 +101,10 @@ def range_scan(spark, sf_dir):
     return read.scan(orders, 3000, 7000).select("key", "value")
 
 
-@query("select c_name as key, c_acctbal as value from customer where starts_with(c_name, (select substr(min(c_name), 1, length(min(c_name)) - 1) from customer))")
+@query("select c_name as key, c_acctbal as value from customer where starts_with(c_name, 'Customer#00000000')")
 def prefix_scan(spark, sf_dir):
-    customers = _table(spark, sf_dir, "customer")
-    least = customers.agg(F.min("c_name")).first()[0]
-    return read.prefix_scan(oplog(customers, "c_name", F.lit(1), "c_acctbal"), least[:-1]).select("key", "value")
+    customers = oplog(_table(spark, sf_dir, "customer"), "c_name", F.lit(1), "c_acctbal")
+    return read.prefix_scan(customers, "Customer#00000000").select("key", "value")
 
 
 @query("select url as key, page_id as value from pages where url >= 'https://m' order by url, page_id limit 20")
@@ -168,11 +167,13 @@ def asof_multi_get_stretched(spark, sf_dir):
 # ---- merges and transactions ------------------------------------------------------------------------
 
 
-@query(f"select key, commit_ts, value from {_newest('commit_ts < 12000')} where op <> 'DELETE'")
+@query(f"select key, commit_ts, value from {_newest()} where op <> 'DELETE'")
 def merge_newest_wins(spark, sf_dir):
+    """The log as three sources of equal time spans, newest first."""
     log = _log(spark, sf_dir)
-    sources = [log.where(F.col("commit_ts").between(i * 4000, i * 4000 + 3999)) for i in (2, 1, 0)]
-    return read.merge_newest_wins(sources).select(*_LIVE)
+    span = F.broadcast(log.agg((F.max("commit_ts") + 1).alias("span")))  # one row
+    third = log.crossJoin(span).withColumn("third", F.floor(F.col("commit_ts") * 3 / F.col("span"))).drop("span")
+    return read.merge_newest_wins([third.where(F.col("third") == i).drop("third") for i in (2, 1, 0)]).select(*_LIVE)
 
 
 @query(f"""with buffer as (select * from {_newest('commit_ts between 9990 and 9999')}), base as (select * from {_newest('commit_ts <= 5000')} where op <> 'DELETE')
@@ -201,16 +202,15 @@ def txn_conflict_keys(spark, sf_dir):
     return read.conflicts(writes, log).select("key")
 
 
-@query("select distinct user_id as key from events where event_id < 9000 union select distinct o_custkey from orders")
+@query("select distinct user_id as key from events union select distinct o_custkey from orders")
 def write_set_union(spark, sf_dir):
-    a = _table(spark, sf_dir, "events").where("event_id < 9000").select(F.col("user_id").alias("key"))
+    a = _table(spark, sf_dir, "events").select(F.col("user_id").alias("key"))
     return a.union(_table(spark, sf_dir, "orders").select("o_custkey")).distinct()
 
 
-@query("select user_id as key from events where event_id < 400 except select user_id from events where event_id >= 9000")
+@query("select o_custkey as key from orders except select user_id from events")
 def keyset_diff(spark, sf_dir):
-    log = _log(spark, sf_dir)
-    return log.where("commit_ts < 400").select("key").subtract(log.where("commit_ts >= 9000").select("key"))
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).subtract(_log(spark, sf_dir).select("key"))
 
 
 @query("""select o_orderkey as key from orders o where exists (select 1 from lineitem where l_orderkey = o_orderkey)
@@ -248,13 +248,15 @@ def _files(spark, sf_dir):
     return _log(spark, sf_dir).groupBy((F.col("commit_ts") % 12).alias("file")).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
 
 
-@query(f"""with f as (select commit_ts % 12 as file, min(key) as min_key, max(key) as max_key from {_LOG} where key % 13 = commit_ts % 12 group by 1),
+@query(f"""with f as (select commit_ts % 12 as file, min(key) as min_key, max(key) as max_key from {_LOG} group by 1
+    union all select 100 + key // 13, min(key), max(key) from {_LOG} group by 1),
  i as (select n_nationkey as probe, n_nationkey * 6 as s, n_nationkey * 6 + 3 as e from nation)
 select f.file, i.probe from f join i on f.max_key >= i.s and f.min_key < i.e""")
 def file_overlap(spark, sf_dir):
-    files = _log(spark, sf_dir).where("key % 13 = commit_ts % 12").groupBy((F.col("commit_ts") % 12).alias("file")).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    """Intervals against twelve files by time, which cover nearly all keys, and files by key."""
+    by_key = _log(spark, sf_dir).groupBy((F.lit(100) + F.floor(F.col("key") / 13)).alias("file")).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
     probes = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("probe"), (F.col("n_nationkey") * 6).alias("start"), (F.col("n_nationkey") * 6 + 3).alias("end"))
-    return maintenance.overlapping(files, F.broadcast(probes)).select("file", "probe")
+    return maintenance.overlapping(_files(spark, sf_dir).unionByName(by_key), F.broadcast(probes)).select("file", "probe")
 
 
 @query(f"select commit_ts % 12 as file, min(key) as min_key, max(key) as max_key, count(*) as n_rows from {_LOG} group by 1")
@@ -317,12 +319,20 @@ def hash_bucket(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), codec.polynomial_bucket(F.col("c_name").cast("binary"), 16).alias("bucket"))
 
 
-@query(None)
+#: CRC-32 in SQL: its table by rule, then a byte at a time.
+_CRC = """(select list_transform(range(256), lambda i: list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]),
+  lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"""
+
+
+@query(f"""with l as (select key, commit_ts, key::varchar as k, coalesce(floor(value)::bigint::varchar, '') as v, op from {_LOG}),
+ b as (select key, commit_ts, list_concat([case when op = 'PUT' then 0 else 1 end, 0, 0, 0, length(k)], list_transform(string_split(k, ''), lambda x: ascii(x)),
+   [0, 0, 0, length(v)], list_transform(list_filter(string_split(v, ''), lambda x: x <> ''), lambda x: ascii(x)))::bigint[] as bytes from l)
+select key, commit_ts, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295)::bigint as crc from b, {_CRC}""")
 def record_checksum(spark, sf_dir):
-    """CRC-32 of every operation as a log record (DuckDB has no such function)."""
+    """CRC-32 of every operation as a log record, values as whole numbers in decimal."""
     log = _log(spark, sf_dir)
-    crc = codec.record_crc(F.col("op"), F.col("key").cast("string").cast("binary"), F.col("value").cast("string").cast("binary"))
-    return log.select("key", "commit_ts", crc.alias("crc"))
+    value = F.floor("value").cast("bigint").cast("string").cast("binary")
+    return log.select("key", "commit_ts", codec.record_crc(F.col("op"), F.col("key").cast("string").cast("binary"), value).alias("crc"))
 
 
 @query("""with r as (select event_id % 8 as file, event_id as seq, event_id % 1999 = 1500 as bad from events)
@@ -336,12 +346,30 @@ def wal_recovery(spark, sf_dir):
     return maintenance.recover(records).select("file", "seq")
 
 
-@query(f"select key::varchar as key, op, value::varchar is not null as has_value, commit_ts from {_LOG}")
+@query(f"select key::varchar as key, op, floor(value)::bigint as value, commit_ts from {_LOG}")
 def command_round_trip(spark, sf_dir):
     log = _log(spark, sf_dir)
-    sent = codec.encode_command(F.col("op"), F.col("key").cast("string").cast("binary"), F.col("value").cast("string").cast("binary"))
+    value = F.floor("value").cast("bigint").cast("string").cast("binary")
+    sent = codec.encode_command(F.col("op"), F.col("key").cast("string").cast("binary"), value)
     back = log.select("commit_ts", codec.decode_command(sent).alias("c"))
-    return back.select(codec.to_text(F.col("c.key")).alias("key"), "c.op", F.col("c.value").isNotNull().alias("has_value"), "commit_ts")
+    return back.select(codec.to_text(F.col("c.key")).alias("key"), "c.op", codec.to_text(F.col("c.value")).cast("bigint").alias("value"), "commit_ts")
+
+
+@query(f"select key, (row_number() over (partition by key order by commit_ts))::int as place, op, floor(value)::bigint as value from {_LOG}")
+def command_batch(spark, sf_dir):
+    """The operations of every key, in order, through one batch command a key."""
+    value = F.floor("value").cast("bigint").cast("string").cast("binary")
+    one = F.struct("commit_ts", "op", F.col("key").cast("string").cast("binary").alias("key"), value.alias("value"))
+    batches = _log(spark, sf_dir).groupBy("key").agg(codec.encode_batch(F.sort_array(F.collect_list(one))).alias("sent"))
+    back = batches.select("key", F.posexplode(codec.decode_batch(F.col("sent"))).alias("place", "c"))
+    return back.select("key", (F.col("place") + 1).alias("place"), "c.op", codec.to_text(F.col("c.value")).cast("bigint").alias("value"))
+
+
+@query("select c_custkey as key, hex(encode(c_name)) || '8000000000000000' as first, hex(encode(c_name)) || 'FF' as stop from customer")
+def scan_bounds(spark, sf_dir):
+    """The encoded interval that holds every version of a key."""
+    name = F.col("c_name")
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.hex(codec.scan_start(name)).alias("first"), F.hex(codec.scan_end(name)).alias("stop"))
 
 
 @query("""select n_nationkey as id, 'host' || n_regionkey::varchar || ':' || (7000 + n_nationkey)::varchar as address, case when n_nationkey % 2 = 0 then n_nationkey else (7000 + n_nationkey) % 100 end::int as node_id from nation""")
@@ -365,22 +393,19 @@ def command_tokens(spark, sf_dir):
 
 
 # ---- replication and cluster ------------------------------------------------------------------------
-# five peers, event_id % 5; a peer's match index is the greatest event_id it has seen of those with event_id % 7 <> peer
+# five peers, event_id % 5; each event acknowledges an index, the later peers ever further behind
 
-_ACKS = "(select event_id % 5 as peer_id, max(event_id) as match_index from events where event_id % 7 <> event_id % 5 and event_id % 11 <= event_id % 5 + 3 group by 1)"
+_ACKS = "(select event_id % 5 as peer_id, max(event_id - event_id % 5 * 97) as match_index from events group by 1)"
 
 
 def _acks(spark, sf_dir):
-    events = _table(spark, sf_dir, "events").where("event_id % 7 <> event_id % 5 and event_id % 11 <= event_id % 5 + 3")
-    return events.groupBy((F.col("event_id") % 5).alias("peer_id")).agg(F.max("event_id").alias("match_index"))
+    peer = F.col("event_id") % 5
+    return _table(spark, sf_dir, "events").select(peer.alias("peer_id"), (F.col("event_id") - peer * 97).alias("match_index"))
 
 
-@query(f"""with i as (select (select max(event_id) from events) - event_id as log_index from events where event_id < 20)
-select i.log_index, count(*) filter (where a.match_index >= i.log_index) as n_acks, count(*) filter (where a.match_index >= i.log_index) >= 3 as committed from i, {_ACKS} a group by i.log_index""")
+@query(f"select e.event_id as log_index, count(*) filter (where a.match_index >= e.event_id) as n_acks, count(*) filter (where a.match_index >= e.event_id) >= 3 as committed from events e, {_ACKS} a group by e.event_id")
 def quorum_acks(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
-    head = F.broadcast(events.agg(F.max("event_id").alias("head")))
-    indexes = events.where("event_id < 20").crossJoin(head).select((F.col("head") - F.col("event_id")).alias("log_index")).distinct()
+    indexes = _table(spark, sf_dir, "events").select(F.col("event_id").alias("log_index"))
     return replication.acknowledged(indexes, _acks(spark, sf_dir), 3)
 
 
@@ -394,11 +419,29 @@ def commit_index(spark, sf_dir):
     return replication.commit_index(_acks(spark, sf_dir))
 
 
-@query("""select user_id % 30 as term, event_id % 5 as candidate, count(distinct case when event_type in ('click', 'view') then event_id % 9 end) as n_votes,
-  count(distinct case when event_type in ('click', 'view') then event_id % 9 end) > 4 as elected from events where event_id < 2000 group by 1, 2""")
+@query(f"""with m as (select (list_sort(list(match_index), 'DESC'))[3] as majority_index, min(match_index) as all_index from {_ACKS})
+select majority_index, all_index, majority_index // 1000 = t.term as commits from m, (select max(event_id) // 1000 as term from events union all select 3) t""")
+def commit_index_of_term(spark, sf_dir):
+    """A majority's index commits only under a leader of the term of its entry: once asked in the log's last term, once in an old one."""
+    log = _table(spark, sf_dir, "events").select(F.col("event_id").alias("log_index"), F.floor(F.col("event_id") / 1000).alias("term"))
+    now = log.agg(F.max("term").alias("current"))
+    old = spark.createDataFrame([(3,)], "current bigint")
+    return replication.commit_index(_acks(spark, sf_dir), now.union(old), log)
+
+
+@query("""select user_id as term, event_id % 3 as candidate, count(distinct case when event_type in ('click', 'view') then event_id % 13 end) as n_votes,
+  count(distinct case when event_type in ('click', 'view') then event_id % 13 end) > 6 as elected from events group by 1, 2""")
 def vote_tally(spark, sf_dir):
-    votes = _table(spark, sf_dir, "events").where("event_id < 2000").select((F.col("user_id") % 30).alias("term"), (F.col("event_id") % 5).alias("candidate"), (F.col("event_id") % 9).alias("voter"), F.col("event_type").isin("click", "view").alias("granted"))
-    return replication.vote_tally(votes, 9)
+    votes = _table(spark, sf_dir, "events").select(F.col("user_id").alias("term"), (F.col("event_id") % 3).alias("candidate"), (F.col("event_id") % 13).alias("voter"), F.col("event_type").isin("click", "view").alias("granted"))
+    return replication.vote_tally(votes, 13)
+
+
+@query("""select cluster, candidate, last_index from (select user_id % 20 as cluster, user_id as candidate, max(event_id // 50) as last_index,
+  row_number() over (partition by user_id % 20 order by max(event_id // 50) desc, user_id) as rn from events group by 1, 2) where rn = 1""")
+def elected_candidate(spark, sf_dir):
+    """Of a cluster's candidates the one whose log is furthest; of equals the lowest id."""
+    events = _table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("cluster"), F.col("user_id").alias("candidate"), F.floor(F.col("event_id") / 50).alias("last_index"))
+    return replication.elect(events, "cluster", "candidate", "last_index").select("cluster", "candidate", "last_index")
 
 
 @query("""with e as (select max(event_id // 1000) as t, max(event_id) as i from events)
@@ -429,6 +472,22 @@ def append_batch(spark, sf_dir):
     return replication.next_entries(_table(spark, sf_dir, "events").select(F.col("event_id").alias("log_index"), "user_id"), 500)
 
 
+@query("""with n as (select count(*) as n, max(event_id) as last from events)
+select row_number() over (order by o_orderdate, o_orderkey) + last as log_index, 7 as term, o_orderkey as key from orders, n""")
+def propose_entries(spark, sf_dir):
+    """All orders, by date, appended to the log of events: indexes go on from its last one."""
+    log = _table(spark, sf_dir, "events").select(F.col("event_id").alias("log_index"))
+    entries = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderdate")
+    return replication.propose(log, entries, 7, ["o_orderdate", "key"]).select("log_index", "term", "key")
+
+
+@query(f"""select a.peer_id, e.event_id as log_index, (e.event_id - a.match_index - 1) // 64 as batch from {_ACKS} a join events e on e.event_id > a.match_index""")
+def catch_up_batches(spark, sf_dir):
+    """What each peer lacks, in batches of 64 entries from its next index on."""
+    log = _table(spark, sf_dir, "events").select(F.col("event_id").alias("log_index"))
+    return replication.batches_to_peers(log, _acks(spark, sf_dir), 64)
+
+
 @query(f"select peer_id, match_index, (select max(match_index) from {_ACKS}) - match_index as lag from {_ACKS}")
 def replica_lag(spark, sf_dir):
     return replication.replica_lag(_acks(spark, sf_dir))
@@ -455,9 +514,7 @@ def lease_sessions(spark, sf_dir):
 @query("""with l as (select user_id, max(ts) as last from events group by user_id), n as (select max(ts) as now from events)
 select user_id from l, n where epoch_us(now) - epoch_us(last) > 3600000000 * 24""")
 def stale_nodes(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
-    now = events.agg(F.max("ts")).first()[0]
-    return replication.stale_nodes(events, "user_id", "ts", F.lit(now), 86400).select("user_id")
+    return replication.stale_nodes(_table(spark, sf_dir, "events"), "user_id", "ts", None, 86400).select("user_id")
 
 
 @query("""select user_id % 10 as cluster, arg_max(case when event_type = 'signup' then user_id end, case when event_type = 'signup' then event_id end) as leader,
@@ -479,30 +536,82 @@ def cluster_info(spark, sf_dir):
 # ---- store and streams ------------------------------------------------------------------------------
 
 
-@query(f"select key, value from {_newest('commit_ts < 9000')} where op <> 'DELETE'")
-def store_flush_and_compact(spark, sf_dir):
-    """The whole log committed to a store in batches, compacted on the way and at the end, read back as of the fourth batch."""
+def _store(spark, key_type, value_type, **kw):
     from palimpsest.sources.store import Store
     from palimpsest.sources.workspace import workspace
 
-    log = _log(spark, sf_dir)
-    store = Store.create(spark, workspace(spark, "store"), "bigint", "double")
-    log = log.withColumn("op_seq", F.col("commit_ts").cast("int"))
-    for lo, hi in ((-1, 2999), (2999, 5999), (5999, 7999), (7999, 8999)):
-        fourth = store.write(log.where((F.col("commit_ts") > lo) & (F.col("commit_ts") <= hi)))
-    store.write(log.where("commit_ts > 8999"))
+    return Store.create(spark, workspace(spark, "store"), key_type, value_type, **kw)
+
+
+@query(f"select key, value from {_newest('commit_ts <= (select max(event_id) * 4 // 5 from events)')} where op <> 'DELETE'")
+def store_flush_and_compact(spark, sf_dir):
+    """The whole log committed to a store in five batches, compacted on the way and at the end, read back as of the fourth."""
+    log = _log(spark, sf_dir).withColumn("op_seq", F.col("commit_ts").cast("int"))
+    store = _store(spark, "bigint", "double")
+    last = log.agg(F.max("commit_ts")).first()[0] or 0
+    ends = [-1, *(last * i // 5 for i in range(1, 6))]
+    commits = [store.write(log.where((F.col("commit_ts") > lo) & (F.col("commit_ts") <= hi))) for lo, hi in zip(ends, ends[1:])]
     store.compact()
-    return store.snapshot(fourth).select("key", "value")
+    return store.snapshot(commits[3]).select("key", "value")
+
+
+@query("""select key, value from (select c_custkey as key, case when c_custkey % 10 = 3 then c_acctbal + 1 else c_acctbal end as value from customer)
+where key % 10 <> 7""")
+def store_levels(spark, sf_dir):
+    """Customers in small level-1 files; a batch over some of them is merged with the files that it overlaps, the others stay."""
+    store = _store(spark, "bigint", "double", l0_trigger=100, target_bytes=8192)
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("PUT").alias("op"), F.col("c_acctbal").alias("value"))
+    store.write(rows)
+    store.compact()
+    store.write(rows.where("key % 10 = 3").withColumn("value", F.col("value") + 1))
+    store.write(rows.where("key % 10 = 7").select("key", F.lit(DELETE).alias("op"), F.lit(None).cast("double").alias("value")))
+    store.compact()
+    store.vacuum()
+    return store.snapshot().select("key", "value")
+
+
+@query("select 1 as level, count(*) as n_rows, min(o_orderkey)::varchar as min_key, max(o_orderkey)::varchar as max_key, true as disjoint from orders")
+def store_catalog(spark, sf_dir):
+    """What the manifest says of orders in many level-1 files."""
+    from pyspark.sql import Window
+
+    store = _store(spark, "bigint", "double", target_bytes=65536)
+    store.write(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit("PUT").alias("op"), F.col("o_totalprice").alias("value")))
+    store.compact()
+    before = F.lag(F.col("max_key").cast("bigint")).over(Window.partitionBy("level").orderBy(F.col("min_key").cast("bigint")))  # a row a file
+    files = store.catalog().withColumn("apart", F.coalesce(before < F.col("min_key").cast("bigint"), F.lit(True)))
+    number = lambda f, c: f(F.col(c).cast("bigint")).cast("string").alias(c)
+    return files.groupBy("level").agg(F.sum("n_rows").alias("n_rows"), number(F.min, "min_key"), number(F.max, "max_key"), F.bool_and("apart").alias("disjoint"))
+
+
+@query("""select c_custkey as key, case when c_nationkey < 10 then c_acctbal * 2 else c_acctbal end as value from customer where c_nationkey < 20""")
+def store_transactions(spark, sf_dir):
+    """Three transactions over all customers from one snapshot: one doubles some, one deletes others, and one that overlaps the first is refused."""
+    from palimpsest.sources.store import ConflictError
+
+    store = _store(spark, "bigint", "double")
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("PUT").alias("op"), F.col("c_acctbal").alias("value"), "c_nationkey")
+    store.write(customers)
+    one, two, three = store.begin(), store.begin(), store.begin()
+    one.write(customers.where("c_nationkey < 10").withColumn("value", F.col("value") * 2))
+    two.write(customers.where("c_nationkey >= 20").withColumn("op", F.lit(DELETE)))
+    three.write(customers.where("c_nationkey between 5 and 15").withColumn("value", F.lit(0.0)))
+    one.commit()
+    two.commit()
+    try:
+        three.commit()
+    except ConflictError:
+        return store.snapshot().select("key", "value")
+    raise AssertionError("a transaction overwrote another one's keys")
 
 
 @query(f"select key, value from {_newest()} where op <> 'DELETE'")
 def stream_apply(spark, sf_dir):
     """The replicated log applied by a stream in index order, once, and the store read afterwards."""
-    from palimpsest.sources.store import Store
     from palimpsest.sources.workspace import workspace
     from palimpsest.streaming.apply import apply_log
 
-    store = Store.create(spark, workspace(spark, "store"), "bigint", "double")
+    store = _store(spark, "bigint", "double")
     schema = _table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern also takes a single file
     deleted = F.col("event_type") == "error"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palimpsest.operators import read
 from palimpsest.sources.store import Store
 
 
@@ -16,7 +17,8 @@ def apply_batch(store: Store, entries: DataFrame) -> int | None:
     top = fresh.agg(F.max("log_index")).first()[0]
     if top is None:
         return None
-    ordered = fresh.withColumn("op_seq", (F.col("log_index") - F.lit(done)).cast("int"))
+    # of each key the entry of the greatest index; indexes may lie any distance apart, so they can't be numbers inside a batch
+    ordered = read.latest(fresh.select("key", "op", "value", F.col("log_index").alias("__at")), ["key"], ["__at"])
     return store.publish(store.stage(ordered), applied_index=top)
 
 
