@@ -3,7 +3,7 @@
 A commit writes its files first and then creates manifest n + 1; if that manifest exists, another commit
 won and this one checks again. What is written but not yet in a manifest carries a marker, which keeps it from being
 vacuumed. Readers pin one manifest, so compaction and collection never disturb them. Level 0 holds committed batches, level
-1 files of about `target_bytes` with disjoint key intervals. Timestamps continue from the manifest, also after a
+1 files of about `target_bytes` of rows with disjoint key intervals. Timestamps continue from the manifest, also after a
 restart. A key's newest version wins; inside one batch the last operation does. Keys are binary, string, bigint or int; null
 keys are refused.
 """
@@ -179,9 +179,9 @@ class Store:
 
     # ---- writes
 
-    def _write(self, rows: DataFrame, level: int, partitions: int, own_ts: bool, apart: list | None = None) -> Staged | None:
-        """Write rows as sorted files with disjoint key intervals, unpublished; None when there are none. No file crosses one of the
-        keys in `apart`."""
+    def _write(self, rows: DataFrame, level: int, partitions: int, own_ts: bool, apart: list | None = None, n_rows: int | None = None) -> Staged | None:
+        """Write rows (n_rows of them, if known) as sorted files with disjoint key intervals, unpublished; None when there are none. No
+        file crosses one of the keys in `apart`."""
         run = uuid.uuid4().hex
         self.files.create(f"_staged/{run}", str(time.time()).encode())
         path = f"{self.root}/data/{run}"
@@ -189,11 +189,17 @@ class Store:
         dealt = rows.withColumn("__group", group)
         dealt = dealt.repartitionByRange(partitions, "__group", "key") if partitions > 1 else dealt.coalesce(1)
         writer = dealt.sortWithinPartitions("__group", "key", F.desc("commit_ts"), F.desc("op_seq")).write
-        writer.option("parquet.bloom.filter.enabled#key", "true").partitionBy("__group").parquet(path)
+        # filters sized by the keys that a file holds; a fixed size would outweigh small files
+        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        if n_rows:
+            writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(max(1, n_rows // partitions)))
+        writer.partitionBy("__group").parquet(path)
         back = self.spark.read.schema(rows.schema).parquet(f"{path}/*")
         at = back.metadataColumn("_metadata")
-        stats = [F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n"), F.count("key").alias("k"), F.min("commit_ts").alias("t"), F.max("commit_ts").alias("u")]
-        found = back.groupBy(at["file_path"].alias("p"), at["file_size"].alias("size")).agg(*stats).collect() if self._has_files(path) else []
+        wide = {"string", "binary"}
+        size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if rows.schema[c].dataType.simpleString() in wide else F.lit(8) for c in ("key", "value")), F.lit(13))
+        stats = [F.sum(size).alias("size"), F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n"), F.count("key").alias("k"), F.min("commit_ts").alias("t"), F.max("commit_ts").alias("u")]
+        found = back.groupBy(at["file_path"].alias("p")).agg(*stats).collect() if self._has_files(path) else []
         if not found or any(x.n != x.k for x in found):
             self._drop(run)
             if found:
@@ -289,7 +295,7 @@ class Store:
         files = max(1, -(-sum(s.n_bytes for s in inputs) // self.target_bytes))
         # a file that stays must not come to lie inside the interval of a new one
         stay = [s for s in m.segments if s.level > 0 and s not in inputs]
-        out = self._write(merged, 1, files, True, sorted({s.min_key for s in stay}))
+        out = self._write(merged, 1, files, True, sorted({s.min_key for s in stay}), sum(s.n_rows for s in inputs))
         gone = {s.name for s in inputs}
         done = False
 
