@@ -352,6 +352,6 @@ def test_query_stores_the_whole_log(spark, tmp_path, monkeypatch):
         return {(k, v) for k, (e, v) in last.items() if e != "error"}
 
     got = catalogue.store_flush_and_compact(spark, str(tmp_path)).collect()
-    assert {(r.key, r.value) for r in got} == live(9000) and len(got) == len(live(9000))
+    assert {(r.key, r.value) for r in got} == live(16000) and len(got) == len(live(16000))
     assert {(r.key, r.value) for r in made[0].snapshot().collect()} == live(20000)
     assert all(s.level == 1 for s in made[0].manifest().segments)
