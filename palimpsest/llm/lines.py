@@ -86,16 +86,17 @@ def extended(table: DataFrame, min_chars: int) -> DataFrame:
     several times only the first is listed; what the others cover is merged to stretches with a null key."""
     prints = table.select("doc", F.explode("prints").alias("p")).select("doc", "p.*")
     hits, shared = met_again(prints, "h", F.struct("doc", "i"), "lines-shared")
-    met = table.select("doc", "hs", "lens").join(hits.groupBy("doc").agg(F.collect_list("i").alias("hits")), "doc")
+    met = table.select("doc", "hs", "lens").join(hits.groupBy("doc").agg(F.sort_array(F.collect_list("i")).alias("hits")), "doc")
     # lines of the least run from each line on, and up to each
     met = met.withColumn("ns", F.expr(f"transform(lens, (x, j) -> {_least(min_chars, 'j')})")).withColumn("ne", F.expr(f"transform(lens, (x, j) -> {_least(min_chars, 'j', -1)})"))
-    # runs with line i begin at p <= i, but not before a whole run that ends before i, or end at q >= i likewise; one number a run, so
-    # that those that several fingerprints extend to are left once
+    # a run that cannot be shorter at its end is listed at its first fingerprint i, so it begins after the one before and no later than i;
+    # one that can't be shorter at its start at its last, so it ends before the next. One number a run: start and lines
     one = min_chars + 1
     alone = "ns[i - 1] = 1 and coalesce(get(ne, i - 2) = 1, i = 1) and coalesce(get(ns, i) = 1, i = size(lens))"  # long lines on both sides
-    begin = f"transform(sequence(i - coalesce(get(ne, i - 2), i) + 1, i), p -> if(p + ns[p - 1] > i, {one}L * p + ns[p - 1], null))"
-    end = f"transform(sequence(i, i - 1 + coalesce(get(ns, i), size(lens) - i + 1)), q -> if(q - ne[q - 1] < i, {one}L * (q - ne[q - 1] + 1) + ne[q - 1], null))"
-    met = met.withColumn("runs", F.expr(f"array_distinct(array_compact(flatten(transform(hits, i -> if({alone}, array({one}L * i + 1), concat({begin}, {end}))))))"))
+    begin = f"transform(sequence(greatest(coalesce(get(hits, t - 1), 0), i - coalesce(get(ne, i - 2), i)) + 1, i), p -> if(p + ns[p - 1] > i, {one}L * p + ns[p - 1], null))"
+    stop = "least(coalesce(get(hits, t + 1), size(lens) + 1), i + coalesce(get(ns, i), size(lens) - i + 1)) - 1"
+    end = f"transform(sequence(i, {stop}), q -> if(q - ne[q - 1] < i and ns[q - ne[q - 1]] <> ne[q - 1], {one}L * (q - ne[q - 1] + 1) + ne[q - 1], null))"
+    met = met.withColumn("runs", F.expr(f"array_compact(flatten(transform(hits, (i, t) -> if({alone}, array({one}L * i + 1), concat({begin}, {end})))))"))
     key = "if(r.n = 1, xxhash64(hs[r.start - 1]), xxhash64(slice(hs, r.start, r.n)))"
     met = met.withColumn("runs", F.expr(f"sort_array(transform(transform(runs, r -> struct(int(r div {one}) as start, int(r % {one}) as n)), r -> struct({key} as key, r.start as start, r.n as n)))"))
     met = met.withColumn("first", F.expr("filter(runs, (r, j) -> j = 0 or runs[j - 1].key <> r.key)"))
