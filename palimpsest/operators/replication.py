@@ -143,7 +143,6 @@ def cluster_leader(beats: DataFrame, cluster: str, node: str, ts: str, leads: Co
 
 
 def cluster_info(beats: DataFrame, cluster: str, node: str, address: str, ts: str, leads: Column) -> DataFrame:
-    """Per cluster: leader and a map from node to its latest address."""
+    """A row a node: its cluster, the cluster's leader, and the node's latest address."""
     latest = beats.groupBy(cluster, node).agg(F.max_by(address, ts).alias("address"))
-    peers = latest.groupBy(cluster).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(node, "address")))).alias("peers"))
-    return cluster_leader(beats, cluster, node, ts, leads).join(peers, cluster)
+    return latest.join(cluster_leader(beats, cluster, node, ts, leads).select(cluster, "leader"), cluster).select(cluster, "leader", F.col(node).alias("peer"), "address")

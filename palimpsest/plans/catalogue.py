@@ -529,8 +529,7 @@ def cluster_leader(spark, sf_dir):
 select a.cluster, l.leader, a.user_id as peer, a.address from a join l on a.cluster = l.cluster""")
 def cluster_info(spark, sf_dir):
     beats = _table(spark, sf_dir, "events").withColumn("cluster", F.col("user_id") % 10)
-    info = replication.cluster_info(beats, "cluster", "user_id", "event_type", "event_id", F.col("event_type") == "signup")
-    return info.select("cluster", "leader", F.explode("peers").alias("peer", "address"))
+    return replication.cluster_info(beats, "cluster", "user_id", "event_type", "event_id", F.col("event_type") == "signup")
 
 
 # ---- store and streams ------------------------------------------------------------------------------

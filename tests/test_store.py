@@ -147,6 +147,23 @@ def test_level_one_files_are_cut_by_size_and_rewritten_where_they_overlap(spark,
     assert gone and {r.key: r.value for r in s.snapshot().collect()} == got
 
 
+def test_files_carry_key_filters_and_statistics(spark, store):
+    store.write_rows([("PUT", b"k%03d" % i, b"v") for i in range(0, 200, 2)])
+    (segment,) = store.manifest().segments
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{store.root}/data/{segment.name}")
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+    try:
+        block = reader.getFooter().getBlocks()[0]
+        column = next(c for c in block.getColumns() if c.getPath().toDotString() == "key")
+        bloom = reader.getBloomFilterDataReader(block).readBloomFilter(column)
+        held = lambda k: bloom.findHash(bloom.hash(jvm.org.apache.parquet.io.api.Binary.fromConstantByteArray(k)))
+        assert all(held(b"k%03d" % i) for i in range(0, 200, 2)) and sum(held(b"k%03d" % i) for i in range(1, 200, 2)) < 20
+        assert bytes(column.getStatistics().getMinBytes()) == segment.min_key == b"k000" and bytes(column.getStatistics().getMaxBytes()) == b"k198"
+    finally:
+        reader.close()
+
+
 def test_small_batches_are_one_file(store):
     store.put(b"a", b"1")
     assert len(store.manifest().segments) == 1
