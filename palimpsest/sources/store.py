@@ -14,6 +14,7 @@ import json
 import time
 import uuid
 import warnings
+from bisect import bisect_left
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
@@ -293,9 +294,7 @@ class Store:
             merged = maintenance.collect_versions(merged, watermark)
         merged = merged.dropDuplicates(["key", "commit_ts", "op_seq"]).select("key", "commit_ts", "op", "value", "op_seq")
         files = max(1, -(-sum(s.n_bytes for s in inputs) // self.target_bytes))
-        # a file that stays must not come to lie inside the interval of a new one
-        stay = [s for s in m.segments if s.level > 0 and s not in inputs]
-        out = self._write(merged, 1, files, True, sorted({s.min_key for s in stay}), sum(s.n_rows for s in inputs))
+        out = self._write(merged, 1, files, True, self._gaps(m, inputs), sum(s.n_rows for s in inputs))
         gone = {s.name for s in inputs}
         done = False
 
@@ -314,6 +313,18 @@ class Store:
                 self._drop(out.run)
         return after
 
+    @staticmethod
+    def _gaps(m: Manifest, inputs: tuple[Segment, ...]) -> list:
+        """A key between each two neighbouring inputs that a staying level-1 file lies between: it must not come to lie inside the
+        interval of a new file. No more keys than inputs."""
+        gone, starts, gaps, passed = {s.name for s in inputs}, sorted(s.min_key for s in inputs), [], 0
+        for s in sorted((s for s in m.segments if s.level > 0 and s.name not in gone), key=lambda s: s.min_key):
+            before = bisect_left(starts, s.min_key)
+            if passed < before < len(starts):
+                gaps.append(s.min_key)
+                passed = before
+        return gaps
+
     def collect_garbage(self, watermark: int) -> Manifest:
         return self.compact(watermark)
 
