@@ -49,8 +49,9 @@ def _least(chars: int, at: str, way: int = 1) -> str:
     found = f"aggregate({rest}, struct(0 as k, 0 as s), (a, x) -> if(a.s >= {chars}, a, struct(a.k + 1 as k, a.s + x as s)), a -> if(a.s >= {chars}, a.k, null))"
     for base in (8, 4, 0):
         sums = [" + ".join([*(["s"] if base else []), *map(get, range(base, k))]) for k in range(base + 1, base + 5)]
-        quick = " ".join(f"when {x} >= {chars} then {k}" for k, x in enumerate(sums, base + 1))
-        found = f"case {quick} when isnull({sums[-1]}) then null else transform(array({sums[-1]}), s -> {found})[0] end"
+        more = f"when {sums[3]} < {chars} then transform(array({sums[3]}), s -> {found})[0]"
+        quick = [f"when {x} >= {chars} then {k}" for k, x in enumerate(sums, base + 1)]
+        found = f"case {' '.join([quick[0], more, *quick[1:]])} end"
     return found
 
 
@@ -62,13 +63,14 @@ def line_table(docs: DataFrame, doc: Column, text_col: str, ends: str, min_chars
     cut = cut.select("doc", F.expr("if(element_at(u, -1) = '', slice(u, 1, size(u) - 1), u)").alias("u"))
     cut = cut.select("doc", F.transform("u", lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))).alias("u"))
     table = cut.select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("hs"), F.transform("u", lambda x: F.length(x) + 1).alias("lens"))
+    # a run of one line has that line's hash
     short = f"transform(array({_least(gram, 'j')}), k -> if(k is null, null, xxhash64(slice(hs, j + 1, k))))[0]"
-    table = table.withColumn("gs", F.expr(f"array_compact(transform(lens, (x, j) -> if(x >= {gram}, xxhash64(hs[j]), {short})))"))
+    table = table.withColumn("gs", F.expr(f"array_compact(transform(lens, (x, j) -> if(x >= {gram}, hs[j], {short})))"))
     # windows hold lines with a gram only; a text without a whole window is shorter than min_chars
     chars = max(1, min_chars - gram)
     inner = "if(j + w <= size(gs), transform(array(slice(gs, j + 1, w)), y -> int(j + array_position(y, array_min(y))))[0], null)"
-    picks = f"""array_distinct(array_compact(transform(gs, (g, j) -> if(lens[j] >= {chars}, j + 1,
-        transform(array({_least(chars, 'j')}), w -> {inner})[0]))))"""
+    picks = f"""array_except(transform(gs, (g, j) -> if(lens[j] >= {chars}, j + 1,
+        transform(array({_least(chars, 'j')}), w -> {inner})[0])), array(cast(null as int)))"""
     table = table.withColumn("at", F.expr(picks))
     return table.select("doc", "hs", "lens", F.expr("transform(at, i -> struct(gs[i - 1] as h, i as i))").alias("prints"))
 
@@ -97,7 +99,7 @@ def extended(table: DataFrame, min_chars: int) -> DataFrame:
     stop = "least(coalesce(get(hits, t + 1), size(lens) + 1), i + coalesce(get(ns, i), size(lens) - i + 1)) - 1"
     end = f"transform(sequence(i, {stop}), q -> if(q - ne[q - 1] < i and ns[q - ne[q - 1]] <> ne[q - 1], {one}L * (q - ne[q - 1] + 1) + ne[q - 1], null))"
     met = met.withColumn("runs", F.expr(f"array_compact(flatten(transform(hits, (i, t) -> if({alone}, array({one}L * i + 1), concat({begin}, {end})))))"))
-    key = "if(r.n = 1, xxhash64(hs[r.start - 1]), xxhash64(slice(hs, r.start, r.n)))"
+    key = "if(r.n = 1, hs[r.start - 1], xxhash64(slice(hs, r.start, r.n)))"
     met = met.withColumn("runs", F.expr(f"sort_array(transform(transform(runs, r -> struct(int(r div {one}) as start, int(r % {one}) as n)), r -> struct({key} as key, r.start as start, r.n as n)))"))
     met = met.withColumn("first", F.expr("filter(runs, (r, j) -> j = 0 or runs[j - 1].key <> r.key)"))
     again = "sort_array(transform(filter(runs, (r, j) -> j > 0 and runs[j - 1].key = r.key), r -> struct(r.start as start, r.start + r.n as stop)))"

@@ -277,7 +277,7 @@ def slow_winnowing(docs, least=lines.MIN_CHARS):
         units = [u for u in cut(t) if u]
         hs, lens = [chained([u.strip().encode()]) for u in units], [len(u.strip()) + 1 for u in units]
         ks = [k for k in (run(lens, a, gram) for a in range(len(lens))) if k]
-        gs = [signed(chained(hs[a : a + k])) for a, k in enumerate(ks)]
+        gs = [signed(hs[a] if k == 1 else chained(hs[a : a + k])) for a, k in enumerate(ks)]
         picked = set()
         for a in range(len(gs)):
             w = run(lens, a, least - gram)
