@@ -93,7 +93,8 @@ def place(tokens: DataFrame) -> DataFrame:
     totals = sorted((r.part, r.n) for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())
     before = itertools.accumulate((n for _, n in totals), initial=0)
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, before)], "part int, base bigint")
-    return tokens.join(bases, "part").withColumn("start", F.col("base") + F.col("local"))
+    # a row a task of the first pass (16 bytes), which the driver holds anyway: broadcast at every size
+    return tokens.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("local"))
 
 
 def cut(placed: DataFrame, length: int = 2048) -> DataFrame:
