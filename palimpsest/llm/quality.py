@@ -117,7 +117,7 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def fit(samples: list[tuple[int, bytes]], epochs: int = 24, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
+def fit(samples: list[tuple[int, bytes]], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
     """Train on (label, UTF-8 text) pairs; classes weigh the same."""
     net = Net.fresh(seed)
     labels = np.array([y for y, _ in samples], np.float32)
