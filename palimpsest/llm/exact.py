@@ -73,7 +73,7 @@ def _through_state(prints: DataFrame, source: str, digest: Column, bytes_per_bat
         states.writeStream.format("noop").outputMode("update").option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
         state = spark.read.format("statestore").load(path)
         key, value = (state.schema[k].dataType.fieldNames() for k in ("key", "value"))
-        return materialise(state.select(F.col(f"key.`{key[0]}`").alias("digest"), F.col(f"value.`{value[0]}`").alias("keep"), F.col(f"value.`{value[1]}`").alias("group_size")), "exact-groups")
+        return materialise(state.select(F.col(f"key.`{key[0]}`").alias("digest"), F.col(f"value.`{value[0]}`").alias("keep"), F.col(f"value.`{value[1]}`").alias("group_size")), "exact-groups", short=True)
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -97,7 +97,7 @@ def _groups(src: DataFrame, file: str, row: str, id_col: str, text_col: str, dig
 
     kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
     rows = prints.withColumn("digest", digest_of(F.col("text_sha256"))).join(found, "digest").withColumn("kept", kept)
-    hits, some = counted(rows.where("group_size > 1").select(F.xxhash64("file").alias("f"), "file", "row", "digest", "kept"), "exact-hits")
+    hits, some = counted(rows.where("group_size > 1").select(F.xxhash64("file").alias("f"), "file", "row", "digest", "kept"), "exact-hits", short=True)
     mixed, split = None, 0
     if some:
         norm = normalise(text).alias("norm")
@@ -106,7 +106,7 @@ def _groups(src: DataFrame, file: str, row: str, id_col: str, text_col: str, dig
         texts = materialise(read_again.select("digest", "kept", "norm"), "exact-texts")
         held = texts.where("kept").select("digest", F.col("norm").alias("kept_norm"))
         # not made distinct here: a join alone lets a hot digest be split
-        mixed, split = counted(texts.where("not kept").join(held, "digest").where("norm <> kept_norm").select("digest"), "exact-mixed")
+        mixed, split = counted(texts.where("not kept").join(held, "digest").where("norm <> kept_norm").select("digest"), "exact-mixed", short=True)
         mixed = mixed.distinct()
         discard(hits, texts)
     if split:

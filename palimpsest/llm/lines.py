@@ -79,7 +79,7 @@ def met_again(rows: DataFrame, key: str, place: Column, tag: str) -> tuple[DataF
     """Rows (written) whose key stands twice, with `later`, whether another stands before; and a table to discard after use."""
     first = rows.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
     # written first: a join of two tables lets a hot key be split, one above an aggregation doesn't
-    first = materialise(first.select(key, "first"), tag)
+    first = materialise(first.select(key, "first"), tag, short=True)
     return rows.join(first, key).withColumn("later", place != F.col("first")).drop("first"), first
 
 

@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         discard(more, known)
     discard(lists, pairs, links)
     of_class = classes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))
-    of_class = materialise(of_class, "near-component")
+    of_class = materialise(of_class, "near-component", short=True)
     discard(classes, parts)
     out = signed.select("id", "n", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("part", "id"))
