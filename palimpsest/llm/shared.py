@@ -87,9 +87,5 @@ def append_columns(df: DataFrame, source: str, made: Callable[[list], list[pa.Ar
     return src.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*((f.name, f.dataType.simpleString()) for f in kept), *columns]))
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,7 +7,6 @@ import random
 import re
 import time
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
