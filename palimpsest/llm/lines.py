@@ -2,7 +2,7 @@
 
 A text is a run of lines; long lines are cut after full stops as well (in the query after '!' and '?' too). Every line
 is hashed. The gram of a line is the least run from it on with a third of `min_chars` characters, and a window the least
-run with the other two thirds. The least gram hash of each window (the first of equal ones) is a fingerprint. Any run of
+run with the other two thirds, or MOST lines where that takes more. The least gram hash of each window (the first of equal ones) is a fingerprint. Any run of
 `min_chars` holds a whole window of grams, so copies of it have a fingerprint in common, whatever stands around them.
 
 Fingerprints that stand twice are joined, and each is extended both ways to all least runs of `min_chars` characters
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palimpsest.llm.exact import located
 from palimpsest.llm.shared import discard, fresh, materialise
 
-MIN_CHARS = 60
+MIN_CHARS, MOST = 60, 4
 #: What ends a sentence before a space, for the query.
 SENTENCE_ENDS = ".!?"
 _CUT = "\x01"
@@ -68,9 +68,17 @@ def line_table(docs: DataFrame, doc: Column, text_col: str, ends: str, min_chars
     table = table.withColumn("gs", F.expr(f"array_compact(transform(lens, (x, j) -> if(x >= {gram}, hs[j], {short})))"))
     # windows hold lines with a gram only; a text without a whole window is shorter than min_chars
     chars = max(1, min_chars - gram)
-    inner = "if(j + w <= size(gs), transform(array(slice(gs, j + 1, w)), y -> int(j + array_position(y, array_min(y))))[0], null)"
-    picks = f"""array_except(transform(gs, (g, j) -> if(lens[j] >= {chars}, j + 1,
-        transform(array({_least(chars, 'j')}), w -> {inner})[0])), array(cast(null as int)))"""
+    sums = ["lens[j]", *(" + ".join(["lens[j]", *(f"get(lens, j + {i})" for i in range(1, k))]) for k in range(2, MOST))]
+    at = lambda i: f"gs[j + {i}]" if i else "g"
+    picked = []
+    for k in range(1, MOST + 1):  # the place of the least of k grams, the first of equal ones
+        place = f"j + {k}"
+        for i in reversed(range(k - 1)):
+            rest = at(k - 1) if i == k - 2 else f"least({', '.join(at(x) for x in range(i + 1, k))})"
+            place = f"if({at(i)} <= {rest}, j + {i + 1}, {place})"
+        picked.append(place if k == 1 else f"if(j + {k} <= size(gs), {place}, null)")
+    cases = " ".join(f"when {x} >= {chars} then {p}" for x, p in zip(sums, picked))
+    picks = f"array_except(transform(gs, (g, j) -> case {cases} else {picked[-1]} end), array(cast(null as int)))"
     table = table.withColumn("at", F.expr(picks))
     return table.select("doc", "hs", "lens", F.expr("transform(at, i -> struct(gs[i - 1] as h, i as i))").alias("prints"))
 

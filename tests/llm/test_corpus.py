@@ -280,8 +280,8 @@ def slow_winnowing(docs, least=lines.MIN_CHARS):
         gs = [signed(hs[a] if k == 1 else chained(hs[a : a + k])) for a, k in enumerate(ks)]
         picked = set()
         for a in range(len(gs)):
-            w = run(lens, a, least - gram)
-            if w and a + w <= len(gs):
+            w = min(run(lens, a, least - gram) or lines.MOST, lines.MOST)
+            if a + w <= len(gs):
                 picked.add(a + gs[a : a + w].index(min(gs[a : a + w])))
         table[i] = (units, hs, lens)
         for a in sorted(picked):
